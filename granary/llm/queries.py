@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from granary.llm import decontaminate, packing, pii, quality_rules, simhash
+from granary.llm import decontaminate, packing, pii, quality_rules, secrets, simhash, url_filter
 from granary.llm.common import table
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +40,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3,
+    "op4_secrets": op4,
     "op5_decontamination": op5,
     "op6_packing": op6,
     "op7_pii": op7,
@@ -41,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
