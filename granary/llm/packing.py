@@ -18,8 +18,9 @@ pieces' order, which a lost executor doesn't change.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,48 +37,45 @@ END = 1
 #: A vocabulary file's name in the tokenizers folder.
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Characters that always part words for this tokenizer, one of which is white space to every rule that it has.
-_SPACE = re.compile(r"[ \n\t\r]+")
+REMEMBERED = 1_000_000
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class Encoder:
+#: Vocabulary path -> word -> ids, for the life of a worker process: tasks that follow in it find the words of those before.
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
+def _parts(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins over it, so ids of a text are those of its parts between spaces, and the
-    ids of a part are remembered: the same words come again and again.
+    ids of a part are remembered: the same words come again and again. New parts of all the texts are encoded in one call.
     """
-
-    def __init__(self, path: str):
-        self.of, self.known = tokenizer(path), {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            for p, e in zip(some, self.of.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        for t in texts:
-            parts = _SPACE.split(t) if t else []
-            try:
-                yield b"".join(map(self.known.__getitem__, parts))
-            except KeyError:
-                new = [p for p in dict.fromkeys(parts) if p not in self.known]
-                self._learn(new)
-                held = self.known
-                if any(p not in held for p in parts):  # forgotten just now
-                    self._learn([p for p in dict.fromkeys(parts) if p not in held])
-                yield b"".join(map(held.__getitem__, parts))
+    known = _KNOWN.setdefault(path, {})
+    dealt = [_parts(t) if t else [] for t in texts]
+    new = {p for parts in dealt for p in parts if p not in known}
+    if len(known) + len(new) > REMEMBERED and known:
+        known.clear()
+        new = {p for parts in dealt for p in parts}
+    some = list(new)
+    for i in range(0, len(some), 4096):
+        block = some[i : i + 4096]
+        for p, e in zip(block, tokenizer(path).encode_batch_fast(block, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+    get = known.__getitem__
+    for parts in dealt:
+        yield b"".join(map(get, parts))
 
 
 def pieces(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, end: int = END, ids: bool = False) -> DataFrame:
@@ -90,12 +88,11 @@ def pieces(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), tex
     step = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 rows, start, length, crc, total, held = [], [], [], [], [], []
-                for i, x in enumerate(encoder.ids(some.column(some.num_columns - 1).to_pylist())):
+                for i, x in enumerate(encoded(some.column(some.num_columns - 1).to_pylist(), path)):
                     x += tail
                     for p in range(0, len(x), step):
                         part = x[p : p + step]

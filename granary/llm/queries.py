@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from granary.llm import decontaminate, packing, pii, quality_rules, secrets, simhash, toxicity, url_filter
+from granary.llm import decontaminate, packing, pii, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
 from granary.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.query(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
+    "op2_quality": op2,
     "op3_url_filter": op3,
     "op4_secrets": op4,
     "op5_decontamination": op5,
