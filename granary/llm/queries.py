@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from granary.llm import decontaminate, packing, pii, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
+from granary.llm import decontaminate, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from granary.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
     "op2_quality": op2,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7,
     "op8_quality_rules": op8,
     "op9_simhash": op9,
+    "op10_suffix_dedup": op10,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -41,3 +41,22 @@ def secrets(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m.group()) >= 24]
     return sorted(out)
+
+
+def repeated_bytes(texts: list[str | None], length: int = 200) -> list[tuple[int, int, int, str]]:
+    """(n_bytes, n_removed, n_spans, digest of what is left) of each text."""
+    held = [(t or "").encode() for t in texts]
+    seen: dict[bytes, int] = {}
+    for b in held:
+        for i in range(len(b) - length + 1):
+            k = hashlib.blake2b(b[i : i + length], digest_size=16).digest()
+            seen[k] = seen.get(k, 0) + 1
+    out = []
+    for b in held:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[hashlib.blake2b(b[i : i + length], digest_size=16).digest()] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
+        out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
