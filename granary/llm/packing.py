@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,34 +49,65 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Vocabulary path -> word -> ids, for the life of a worker process: tasks that follow in it find the words of those before.
+#: Vocabulary path -> words' ids, for the life of a worker process: tasks that follow in it find the words of those before.
 _KNOWN: dict[str, dict[str, bytes]] = {}
+#: Marks after a letter or digit at a part's end. The tokenizer parts them there itself; no apostrophe, which may belong to the word.
+_MARKS = r"""([\pL0-9])([.,!?;:#$%&*|()"]+)( |$)"""
 
 
-def _parts(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-
-def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never joins over it, so ids of a text are those of its parts between spaces, and the
-    ids of a part are remembered: the same words come again and again. New parts of all the texts are encoded in one call.
-    """
+def _ids_of(parts: list[str], path: str) -> list[bytes]:
+    """Ids of distinct parts as little-endian unsigned 32-bit bytes."""
     known = _KNOWN.setdefault(path, {})
-    dealt = [_parts(t) if t else [] for t in texts]
-    new = {p for parts in dealt for p in parts if p not in known}
-    if len(known) + len(new) > REMEMBERED and known:
+    found = list(map(known.get, parts))
+    if None not in found:
+        return found
+    new = [p for p, x in zip(parts, found, strict=True) if x is None]
+    if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = {p for parts in dealt for p in parts}
-    some = list(new)
-    for i in range(0, len(some), 4096):
-        block = some[i : i + 4096]
-        for p, e in zip(block, tokenizer(path).encode_batch_fast(block, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-    get = known.__getitem__
-    for parts in dealt:
-        yield b"".join(map(get, parts))
+    at = 0
+    fresh: list[bytes] = []
+    while at < len(new):
+        fresh += [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
+        at += 4096
+    known.update(zip(new, fresh, strict=True))
+    rest = iter(fresh)
+    return [next(rest) if x is None else x for x in found]
+
+
+def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and where each text's begin (and the last one's end).
+
+    The tokenizer drops white space and never joins over it, so ids of a text are those of its parts between spaces; marks at
+    a word's end are set apart and ASCII capitals lower-cased first, as the tokenizer would, so that there are fewer. Arrow
+    splits the texts and numbers their distinct parts; only those are looked up, and only words never seen are encoded.
+    """
+    flat = pc.fill_null(texts.cast(pa.large_string()), "")
+    for space in "\n\t\r":
+        flat = pc.replace_substring(flat, space, " ")
+    plain = pc.replace_substring_regex(pc.ascii_lower(flat), _MARKS, r"\1 \2\3")
+    flat = pc.if_else(pc.match_substring(flat, "<|"), flat, plain)  # may hold the names of special tokens, which are read as they stand
+    lists = pc.split_pattern(flat, " ")
+    coded = lists.flatten().dictionary_encode()
+    bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+    which = coded.indices.to_numpy()
+    ids = _ids_of(coded.dictionary.to_pylist(), path)
+    store = np.frombuffer(b"".join(ids), dtype="<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin = np.cumsum(size) - size
+    lengths = size[which]
+    ends = np.r_[0, np.cumsum(lengths)]
+    place = np.repeat(begin[which] - ends[:-1], lengths) + np.arange(ends[-1])
+    return store[place], ends[bounds]
+
+
+def _blocks(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of a column of texts of about ``most`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")) - at)
+        yield at, n
+        at += n
 
 
 def pieces(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, end: int = END, ids: bool = False) -> DataFrame:
@@ -84,25 +116,24 @@ def pieces(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), tex
     schema = T.StructType(kept.schema.fields[:-1]).add("start", T.LongType()).add("length", T.LongType()).add("ids_crc32", T.LongType()).add("doc_tokens", T.LongType())
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    tail = np.array([end], dtype="<u4").tobytes()
-    step = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            for at, n in _blocks(b.column(b.num_columns - 1)):
+                some = b.slice(at, n)
+                found, bounds = encoded(some.column(some.num_columns - 1), path)
                 rows, start, length, crc, total, held = [], [], [], [], [], []
-                for i, x in enumerate(encoded(some.column(some.num_columns - 1).to_pylist(), path)):
-                    x += tail
-                    for p in range(0, len(x), step):
-                        part = x[p : p + step]
+                for i in range(n):
+                    own = np.append(found[bounds[i] : bounds[i + 1]], np.uint32(end))
+                    for p in range(0, len(own), window):
+                        part = own[p : p + window]
                         rows.append(i)
-                        start.append(p // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        total.append(len(x) // 4)
+                        start.append(p)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        total.append(len(own))
                         if ids:
-                            held.append(np.frombuffer(part, dtype="<i4"))
+                            held.append(part.astype(np.int32))
                 cols = [c.take(pa.array(rows, pa.int64())) for c in some.columns[:-1]] + [pa.array(v, pa.int64()) for v in (start, length, crc, total)]
                 if ids:
                     cols.append(pa.array(held, pa.list_(pa.int32())))
