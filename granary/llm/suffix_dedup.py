@@ -138,17 +138,18 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered_rows(uid: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts, joined within each document."""
+    if not len(uid):
+        return uid, start, count
     u, s, n = [], [], []
     order = np.lexsort((start, uid))
     uid, start, count = uid[order], start[order], count[order]
-    cut = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.empty(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
     for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(uid)], strict=True):
         a, b = merged(start[i:j], start[i:j] + count[i:j])
         u.append(np.full(len(a), uid[i]))
         s.append(a)
         n.append(b - a)
-    none = np.empty(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (u, s, n))
+    return np.concatenate(u), np.concatenate(s), np.concatenate(n)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
