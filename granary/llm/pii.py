@@ -96,8 +96,8 @@ def patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scored
 
 
-def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``carry`` columns with ``base`` and ``spans`` (base and discovered): array<struct<start, k, end>> in order."""
+def _marked(docs: DataFrame, carry: tuple[str, ...], text: str) -> DataFrame:
+    """``carry`` columns as __c0, __c1 ... with __base and __spans."""
     body = F.coalesce(F.col(text), F.lit(""))
     seen = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], body.alias("__text")).withColumn("base", base_spans(F.col("__text")))
     seen = seen.withColumn("tokens", _tokens(F.col("__text"), F.col("base"))).drop("__text")
@@ -108,7 +108,12 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "tex
     new = new.groupBy("__row").agg(F.collect_list(F.struct("start", F.lit(4).alias("k"), "end")).alias("new"))
     both = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
     joined = seen.join(new, "__row", "left")
-    return joined.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "base", both.alias("spans"))
+    return joined.select(*[f"__c{i}" for i in range(len(carry))], F.col("base").alias("__base"), both.alias("__spans"))
+
+
+def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``carry`` columns with ``base`` and ``spans`` (base and discovered): array<struct<start, k, end>> in order."""
+    return _marked(docs, carry, text).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -124,6 +129,7 @@ def query(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind, as ``[EMAIL]``; other columns, and null texts, unchanged."""
     names = list(docs.columns)
-    marked = find(docs, tuple(names), text)
-    clean = F.when(F.col(f"`{text}`").isNotNull(), replaced(F.col(f"`{text}`"), F.col("spans"), KINDS))
-    return marked.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    marked = _marked(docs, tuple(names), text)
+    body = F.col(f"__c{names.index(text)}")
+    clean = F.when(body.isNotNull(), replaced(body, F.col("__spans"), KINDS))
+    return marked.select(*[clean.alias(c) if c == text else F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
