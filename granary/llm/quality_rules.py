@@ -155,16 +155,18 @@ def rejected_by(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     measured: prefix of columns that already hold the measures. Else each branch computes its own, and only if it is reached.
     """
     order = [r for r, _, _ in order_of(docs, rules, text)]
+
+    def cascade(of: Callable[[str], Column]) -> Column:
+        verdict = F.lit(None).cast("string")
+        for r in reversed(order):
+            verdict = F.when(_test(r, of), F.lit(r.name)).otherwise(verdict)
+        return verdict
+
     if measured is not None:
-        held, of = docs, lambda n: F.col(measured + n)
-    else:
-        held = docs.withColumn("__granary_words", words(F.col(text)))
-        body = F.coalesce(F.col(text), F.lit(""))
-        of = lambda n: MEASURES[n][0](body, F.col("__granary_words"))
-    verdict = F.lit(None).cast("string")
-    for r in reversed(order):
-        verdict = F.when(_test(r, of), F.lit(r.name)).otherwise(verdict)
-    return held.withColumn(out, verdict).drop("__granary_words")
+        return docs.withColumn(out, cascade(lambda n: F.col(measured + n)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # the words are bound once for all branches, wherever the optimizer moves the expression
+    return docs.withColumn(out, let(words(F.col(text)), lambda w: cascade(lambda n: MEASURES[n][0](body, w))))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
