@@ -37,7 +37,7 @@ def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 64) -> DataFr
         frontier = cut(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return known
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)  # of tables that are cut already
     raise ValueError(f"no end after {most_rounds} rounds")
 
 

@@ -51,7 +51,7 @@ def blast_radius(spark, d):
         front = cut(step.join(known, ["root", "node"], "left_anti"))
         if front.isEmpty():
             return known.groupBy("root").agg((F.count("*") - 1).alias("dependents"))
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)  # of tables that are cut already
 
 
 @register("chain_depth", "WITH RECURSIVE c(node, up, depth) AS (SELECT p_partkey, p_partkey // 2, CASE WHEN p_partkey > 1 THEN 1 ELSE 0 END FROM part UNION ALL SELECT node, up // 2, depth + 1 FROM c WHERE up > 1) SELECT node, max(depth)::INT AS depth, false AS cyclic FROM c GROUP BY node")
