@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_VERSION = Window.partitionBy("version_id").orderBy("ord")
-
 
 def offsets(refs: DataFrame) -> DataFrame:
     """Half-open byte range of each chunk in its object."""
-    before = F.coalesce(F.sum("length").over(IN_VERSION.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_version = Window.partitionBy("version_id").orderBy("ord")
+    before = F.coalesce(F.sum("length").over(in_version.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return refs.withColumn("start", before).withColumn("end", F.col("start") + F.col("length"))
 
 

@@ -82,7 +82,7 @@ def unpacked(data: bytes) -> Iterator[tuple]:
     if data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        yield "zstd", b"".join(zstandard.ZstdDecompressor().read_to_iter(data, read_across_frames=True)) if data else b""
+        yield "zstd", zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).readall()
     elif data[:4] == b"\x04\x22\x4d\x18":
         yield "lz4", pa.CompressedInputStream(pa.BufferReader(data), "lz4").read()
     else:
