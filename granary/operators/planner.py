@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +112,28 @@ POLICIES = ("greedy", "premium-cap", "late-bootstrap", "expected-value", "one-st
 def admission(candidates: DataFrame, policies: tuple[str, ...] = POLICIES) -> DataFrame:
     """(case, policy, stage, chosen, cost) of candidates (case, hinted, stage, rank, name, objects array<struct<id, size>>, sample array<string>).
 
-    A stage sees what earlier stages admitted, so a case is sequential; cases run apart.
+    A stage sees what earlier stages admitted, so a case is sequential; cases run apart, a row each.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stage", "rank"])
-        stages = [[(r.name_, {o["id"]: int(o["size"]) for o in r.objects}, list(r.sample)) for r in g.itertuples()] for _, g in pdf.rename(columns={"name": "name_"}).groupby("stage")]
-        case = Case(stages, bool(pdf["hinted"].iloc[0]))
-        rows = [(pdf["case"].iloc[0], p, s, name, cost) for p in policies for s, (name, cost) in enumerate(case.run(p))]
-        return pd.DataFrame(rows, columns=["case", "policy", "stage", "chosen", "cost"])
-
-    return candidates.groupBy("case").applyInPandas(fold, "case string, policy string, stage int, chosen string, cost bigint")
+    # cases are few bytes and much work: their number of partitions is fixed, so that it isn't coalesced by size
+    dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case")
+    held = dealt.groupBy("case").agg(F.max("hinted").alias("hinted"), F.array_sort(F.collect_list(F.struct("stage", "rank", "name", "objects", "sample"))).alias("all"))
+    names = ["case", "policy", "stage", "chosen", "cost"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, hinted, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                stages: dict[int, list] = {}
+                for c in found:
+                    stages.setdefault(c["stage"], []).append((c["name"], {o["id"]: o["size"] for o in c["objects"]}, c["sample"]))
+                case = Case(list(stages.values()), bool(hinted))
+                rows += [(name, p, s, chosen, cost) for p in policies for s, (chosen, cost) in enumerate(case.run(p))]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return held.mapInArrow(fold, "case string, policy string, stage int, chosen string, cost bigint")
 
 
 def independent(candidates: DataFrame, stored: DataFrame) -> DataFrame:
