@@ -8,8 +8,8 @@ expression that a class has hardly seen gets nearly the same probability from bo
     log P_toxic(x | context) - log P_ordinary(x | context)
 
 is the evidence of a byte. Toxic expressions are a few words in long ordinary texts, so log-likelihoods are compared normalised
-by length twice: over the whole text, and over its most toxic window. A logistic fit on labelled documents, which the class
-models have not seen, turns both into a score.
+by length twice: over the whole text, and over its most toxic window. A logistic fit turns both into a score. It is made on a
+fold of labelled documents with class models that leave the fold out; the models that score have it in.
 
 Counting: each task sums distinct grams before the shuffle; a gram is a number of 48 bits, exact. The model that goes to all
 tasks is an array of ``CELLS`` bytes, whatever the corpus: grams share a cell by hash and weigh in it by their counts. Labelled
@@ -41,8 +41,9 @@ CELLS = 1 << 24
 #: Evidence in a cell is a signed byte of so many steps to a nat.
 STEPS = 16
 MOST_LABELLED, MOST_FITTED = 200_000, 20_000
-#: The fold of labelled rows that calibrates and isn't counted.
+#: The fold of labelled rows that calibrates; the models that it calibrates don't count it.
 CALIBRATION = 4
+_COUNTS = ("n", "toxic", "ordinary", "late_toxic", "late_ordinary")
 _MASK = np.uint64((1 << (8 * ORDER)) - 1)
 #: Odd multipliers of a gram's halves; a cell is the top bits of the low 36 of the sum.
 _MIX_HIGH, _MIX_LOW = 0x9E3779B97, 0x85EBCA6B7
@@ -69,13 +70,13 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def gram_counts(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(gram, n, toxic, ordinary) over all texts; known: (id, y) of labelled ones."""
-    held = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id", "left").select("text", "y")
+    """(gram, n, toxic, ordinary, late_toxic, late_ordinary) over all texts; known: (id, y, late) of labelled ones, apart where late."""
+    held = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known.select("id", (F.when(F.col("y") > 0, 1).otherwise(2) + F.when(F.col("late"), 2).otherwise(0)).alias("kind"))), "id", "left").select("text", F.coalesce("kind", F.lit(0)).alias("kind"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
-        waiting: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
+        waiting: dict[int, list[np.ndarray]] = {k: [] for k in range(5)}
         size = 0
 
         def settle() -> None:
@@ -83,7 +84,7 @@ def gram_counts(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text:
             for kind, parts in waiting.items():
                 if parts:
                     u, n = np.unique(np.concatenate(parts), return_counts=True)
-                    c = np.zeros((len(u), 3), np.int64)
+                    c = np.zeros((len(u), 5), np.int64)
                     c[:, 0] = n
                     if kind:
                         c[:, kind] = n
@@ -96,22 +97,21 @@ def gram_counts(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text:
                 keys, sums = [k], [c]
 
         for b in batches:
-            label = b.column(1).to_pylist()
-            for t, y in zip(b.column(0).cast(pa.binary()), label, strict=True):
+            for t, kind in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
                 if t.is_valid:
                     g = grams(t.as_py())
-                    waiting[0 if y is None else 1 if y else 2].append(g)
+                    waiting[kind].append(g)
                     size += len(g)
-                    if size > 1 << 21:
+                    if size > 1 << 20:
                         settle()
         settle()
         if keys:
             k, c = _summed(keys, sums)
             for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].view(np.int64)), *[pa.array(c[i : i + (1 << 16), j]) for j in range(3)]], names=["gram", "n", "toxic", "ordinary"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].view(np.int64)), *[pa.array(c[i : i + (1 << 16), j]) for j in range(5)]], names=["gram", *_COUNTS])
 
-    counted = held.mapInArrow(count, "gram bigint, n bigint, toxic bigint, ordinary bigint")
-    return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "ordinary")])
+    counted = held.mapInArrow(count, "gram bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def evidence(counts: DataFrame, discount: float = DISCOUNT, shared_discount: float = SHARED_DISCOUNT) -> DataFrame:
@@ -175,16 +175,19 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """(id, peak, mean, score) of every document."""
     spark = docs.sparkSession
     known = written(training(labels, label, MOST_LABELLED, id_col))
-    counts = written(gram_counts(docs, known.filter(F.col("fold") != CALIBRATION).select("id", "y"), id_col, text))
-    table = spark.sparkContext.broadcast(model(counts))
     fitted = known.filter(F.col("fold") == CALIBRATION)
+    counts = written(gram_counts(docs, known.select("id", "y", (F.col("fold") == CALIBRATION).alias("late")), id_col, text))
+    early = spark.sparkContext.broadcast(model(counts))
     n = fitted.count()
     if n > MOST_FITTED:
         fitted = fitted.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(0.97 * MOST_FITTED / n * (1 << 20)))
     chosen = docs.join(F.broadcast(fitted.select(F.col("id").alias(id_col))), id_col, "left_semi")
-    rows = measured(chosen, table, id_col, text).join(F.broadcast(fitted), "id").select("peak", "mean", "y").toArrow()
+    rows = measured(chosen, early, id_col, text).join(F.broadcast(fitted), "id").select("peak", "mean", "y").toArrow()
+    early.unpersist()
     x = np.column_stack([rows.column("peak").to_numpy(), rows.column("mean").to_numpy()]).reshape(-1, 2)
     w, mean, scale = logistic(x, rows.column("y").to_numpy().astype(float))
+    full = counts.withColumns({"toxic": F.col("toxic") + F.col("late_toxic"), "ordinary": F.col("ordinary") + F.col("late_ordinary")})
+    table = spark.sparkContext.broadcast(model(full))
     z = F.lit(float(w[2])) + F.lit(float(w[0] / scale[0])) * (F.col("peak") - float(mean[0])) + F.lit(float(w[1] / scale[1])) * (F.col("mean") - float(mean[1]))
     return measured(docs, table, id_col, text).withColumn("score", 1 / (1 + F.exp(-z)))
 
