@@ -117,7 +117,8 @@ RULES = (
     Rule("repeated_words", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 20 * n, base=True),
     Rule("symbols", ("n_symbols", "n_words"), lambda s, n: 100 * s > 30 * n),
     Rule("word_length", ("word_chars", "n_words"), lambda c, n: (c > 15 * n) | (c < 2 * n)),
-    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda d, n: 100 * d > 30 * n),
+    # a line of a page's frame may stand at its head and foot: one or two repeats say nothing of a short text
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda d, n: (d > 2) & (100 * d > 30 * n)),
     Rule("capitals", ("n_upper", "n_letters"), lambda u, n: 100 * u > 50 * n),
 )
 
@@ -199,6 +200,6 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 30 * n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 50 * n_letters) AS kept
+            OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_upper > 50 * n_letters) AS kept
 FROM b
 """
