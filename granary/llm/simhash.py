@@ -123,22 +123,35 @@ def forest(points: np.ndarray, own: np.ndarray, tree: int, within: int = RADIUS)
     half, parent = _half(points, tree), np.arange(len(points))
     radius = within // 2
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
+    edges: list[np.ndarray] = []
+
+    def roots(i: np.ndarray) -> np.ndarray:
+        x = parent[i]
+        while True:
+            y = parent[x]
+            if (x == y).all():
+                parent[i] = x
+                return x
+            x = y
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        """Each round every root takes at most one lower root, so pairs that are joined already cost one look and no loop."""
+        while len(i):
+            x, y = roots(i), roots(j)
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            parent[high] = np.minimum(x, y)[first]
+            if len(first):
+                edges.append(np.column_stack([i[first], j[first]]))
 
     def compare(p: np.ndarray, q: np.ndarray) -> None:
-        for at in range(0, len(q), max(1, (1 << 20) // max(1, len(p)))):  # a block of a million distances at a time
-            some = q[at : at + max(1, (1 << 20) // max(1, len(p)))]
+        step = max(1, (1 << 20) // max(1, len(p)))
+        for at in range(0, len(q), step):  # a block of a million distances at a time
+            some = q[at : at + step]
             a, b = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[p][None, :]) <= within)
-            for i, j in zip(some[a].tolist(), p[b].tolist(), strict=True):
-                if i != j and (x := root(i)) != (y := root(j)):
-                    parent[max(x, y)] = min(x, y)
-                    edges.append((i, j))
+            i, j = some[a], p[b]
+            join(i[i != j], j[i != j])
 
     stack = [(np.nonzero(own)[0], np.arange(len(points)))]
     while stack:
@@ -152,7 +165,7 @@ def forest(points: np.ndarray, own: np.ndarray, tree: int, within: int = RADIUS)
         v, mu = np.uint32(cut[0]), cut[1]
         dp, dq = np.bitwise_count(half[p] ^ v).astype(np.int16), np.bitwise_count(half[q] ^ v).astype(np.int16)
         stack += [(p[dp <= mu], q[dq <= mu + radius]), (p[dp > mu], q[dq > mu - radius])]
-    return np.array(edges, dtype=np.int64).reshape(-1, 2)
+    return np.concatenate(edges) if edges else np.empty((0, 2), dtype=np.int64)
 
 
 def links(points: DataFrame, within: int = RADIUS) -> DataFrame:
