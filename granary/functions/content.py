@@ -134,7 +134,23 @@ def coarse_features(data: bytes) -> np.ndarray:
     return np.concatenate([shingle_features((b[p::4] & 0xFC).tobytes(), 4) for p in range(4)])
 
 
-def sign_features(data: bytes, tag: int = 0x5347) -> np.ndarray:
+def super_features(sketch: np.ndarray) -> np.ndarray:
+    """One feature of each four neighbours of an ascending sketch."""
+    return np.array([fnv1a(sketch[i : i + 4].astype("<u8").tobytes(), ANCHOR_BASIS) for i in range(0, len(sketch) - 3, 4)], np.uint64)
+
+
+def edge_features(data: bytes) -> np.ndarray:
+    """Of the first and last 32 bytes; of shorter inputs four shingles."""
+    if len(data) < 32:
+        return shingle_features(data, 4)
+    return np.array([fnv1a(data[:32], ANCHOR_BASIS), fnv1a(data[-32:], ANCHOR_BASIS)], np.uint64)
+
+
+#: High bits of each band of sign features: a fixed value.
+SIGN_TAG = 0x5353474E00000000
+
+
+def sign_features(data: bytes) -> np.ndarray:
     """Eight bands of sixty-four sampled sign bits of little-endian floats; none under 256 bytes."""
     if len(data) < 256:
         return np.empty(0, np.uint64)
@@ -144,12 +160,12 @@ def sign_features(data: bytes, tag: int = 0x5347) -> np.ndarray:
     bits = (np.frombuffer(data, np.uint8)[off + 3] >> 7).astype(np.uint64)
     sketch = np.bitwise_or.reduce(bits << i.astype(np.uint64))
     band = np.arange(8, dtype=np.uint64)
-    return _spread(np.uint64(tag << 48) | band << np.uint64(8) | (sketch >> (band * np.uint64(8))) & np.uint64(255))
+    return _spread(np.uint64(SIGN_TAG) | band << np.uint64(8) | (sketch >> (band * np.uint64(8))) & np.uint64(255))
 
 
 def feature_map(objects: DataFrame, id_col: str, body: str, kind: str = "shingle", k: int = 64) -> DataFrame:
     """(feature, id): postings of each object."""
-    how = {"shingle": lambda d: shingle_features(d, k), "block": block_features, "coarse": coarse_features, "sign": sign_features}[kind]
+    how = {"shingle": lambda d: shingle_features(d, k), "block": block_features, "coarse": coarse_features, "sign": sign_features, "super": lambda d: super_features(shingle_features(d, k)), "edge": edge_features}[kind]
     kept = objects.select(F.col(id_col).alias("id"), F.col(body))
     schema = T.StructType([T.StructField("feature", T.LongType()), T.StructField("id", kept.schema[0].dataType)])
 
@@ -253,8 +269,12 @@ def crc32c(data: bytes, crc: int = 0) -> int:
     return c ^ 0xFFFFFFFF
 
 
-def fnv1a(data: bytes) -> int:
-    h = 14695981039346656037
+#: Offset bases: of FNV-1a, and of the anchor hash, which is the same but for it. Fixed values.
+FNV_BASIS, ANCHOR_BASIS = 14695981039346656037, 1469598103934665603
+
+
+def fnv1a(data: bytes, basis: int = FNV_BASIS) -> int:
+    h = basis
     for b in data:
         h = (h ^ b) * 1099511628211 & (1 << 64) - 1
     return h

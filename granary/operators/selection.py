@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POLICIES = ("independent", "marginal", "refine", "exact")
+POLICIES = ("independent", "marginal", "refine", "beam", "exact")
+#: Partial plans that the beam keeps.
+BEAM = 16
 #: Choices that the exact plan walks at most.
 MOST_STATES = 200_000
 
@@ -55,6 +57,14 @@ class Instance:
             cost = best[0]
             pick[best[1]] = best[2]
 
+    def beam(self, width: int = BEAM) -> list[int]:
+        """The cheapest partial plans, object by object; no worse than the refined plan."""
+        states: list[tuple[int, list[int], frozenset]] = [(0, [], frozenset())]
+        for s in self.objects:
+            grown = [(cost + read + sum(n for c, n in parts.items() if c not in have), [*pick, i], have | parts.keys()) for cost, pick, have in states for i, (_, read, parts) in enumerate(s)]
+            states = sorted(grown, key=lambda x: (x[0], x[1]))[:width]
+        return min([states[0][1], self.refine()], key=self.cost)
+
     def exact(self) -> list[int]:
         """Branch and bound; a bound on the rest is each object's least reading, for its components may all be shared."""
         best = self.refine()

@@ -24,7 +24,7 @@ def dag_plans(spark, d):
 def dag_plan_order(spark, d):
     """Each better policy costs no more: exact, refined, marginal."""
     p = sel.planned(_candidates(spark, d)).groupBy("inst").pivot("policy", list(sel.POLICIES)).agg(F.max("cost"))
-    return p.select("inst", ((F.col("exact") <= F.col("refine")) & (F.col("refine") <= F.col("marginal")) & (F.col("exact") <= F.col("independent"))).alias("ordered"))
+    return p.select("inst", ((F.col("exact") <= F.col("beam")) & (F.col("beam") <= F.col("refine")) & (F.col("refine") <= F.col("marginal")) & (F.col("exact") <= F.col("independent"))).alias("ordered"))
 
 
 @register("dag_independent_cost", """SELECT inst, sum(w)::BIGINT AS alone FROM (SELECT inst, obj, min(read + s) AS w FROM (SELECT inst, obj, scheme, min(read) AS read, list_sum(list_transform(list_slice(list_sort(list_distinct(list(c))), 1, 3), lambda x: 10 + 5 * x)) AS s FROM (SELECT l_suppkey::VARCHAR AS inst, l_linenumber AS obj, l_returnflag AS scheme, l_quantity::BIGINT AS read, l_partkey % 8 AS c FROM lineitem) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""")

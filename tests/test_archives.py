@@ -88,7 +88,7 @@ def test_exact_plan_is_the_best():
     for _ in range(40):
         case = Instance([[(str(i), r.randint(0, 9), {str(c): 5 + c for c in r.sample(range(6), r.randint(1, 3))}) for i in range(r.randint(1, 3))] for _ in range(5)])
         best = min(case.cost(list(p)) for p in itertools.product(*[range(len(s)) for s in case.objects]))
-        assert case.cost(case.exact()) == best <= case.cost(case.refine()) <= case.cost(case.marginal())
+        assert case.cost(case.exact()) == best <= case.cost(case.beam()) <= case.cost(case.refine()) <= case.cost(case.marginal())
 
 
 def test_derive_edges(spark):

@@ -74,6 +74,7 @@ def test_features():
 
     b = random.Random(3).randbytes(500)
     assert ct.shingle_features(b, 8).tolist() == slow(b, 8)
+    assert len(ct.super_features(ct.shingle_features(b, 16))) == 4 and len(ct.edge_features(b)) == 2 and len(ct.edge_features(b[:20])) == 4
     assert len(ct.shingle_features(b"short")) == 0 and len(ct.sign_features(b)) == 8 and len(ct.sign_features(b[:99])) == 0
 
 
