@@ -38,7 +38,7 @@ END = 1
 #: A vocabulary file's name in the tokenizers folder.
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 @lru_cache(maxsize=2)
