@@ -43,9 +43,9 @@ from granary.llm.common import written
 LENGTH, TRIGGER = 200, 64
 HOT_LOCAL, HOT_TOTAL = 64, 10_000
 #: Phrases that a task holds before it settles them; bytes of contexts whose suffixes are sorted at a time, about.
-HELD, DICTIONARY_BYTES = 1 << 20, 4 << 20
+HELD, DICTIONARY_BYTES = 1 << 18, 1 << 20
 #: Places of a long text that are parsed at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
 PENDING, TWIN, COVERED, MARKER, EDGE = 0, 1, 2, 3, 4
 _ALL = (1 << 64) - 1
 
