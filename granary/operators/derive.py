@@ -212,3 +212,12 @@ def residual_entropy(base: np.ndarray, target: np.ndarray) -> float:
         c = c[c > 0]
         total += float(-(c * np.log2(c / c.sum())).sum()) / 8
     return total
+
+
+def restored(spans: DataFrame, backing: DataFrame) -> DataFrame:
+    """(id, body) of spans (id, ord, sha, offset, length) over backing chunks (sha, payload); null where a span leaves its chunk or the chunk isn't there."""
+    j = spans.join(backing, "sha", "left")
+    inside = (F.col("offset") >= 0) & (F.col("length") > 0) & (F.col("offset") + F.col("length") <= F.char_length("payload"))
+    part = F.when(inside, F.substring("payload", F.col("offset") + 1, F.col("length")))
+    out = j.select("id", "ord", part.alias("part")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("p"))
+    return out.select("id", F.when(~F.exists("p", lambda x: x["part"].isNull()), F.array_join(F.transform("p", lambda x: x["part"]), "")).alias("body"))

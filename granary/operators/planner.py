@@ -178,3 +178,22 @@ def churn(a: DataFrame, b: DataFrame) -> DataFrame:
         .otherwise("changed")
     )
     return j.select("id", reason.alias("reason"))
+
+
+def priors(stages: DataFrame, default_ratio: float = 1.0) -> DataFrame:
+    """One row pooled over lineages: ratio, rho_rep, rho_plain, q, n; of stages (lineage, t, scheme, own, overlap), overlap null at t = 0.
+
+    ratio is the geometric mean of a scheme's bytes over the plain copy's at the same stage; rho the mean overlap with the
+    stage before; q how often another stage follows, held within 0.05 and 0.95. Give it training lineages only.
+    """
+    plain = stages.filter(F.col("scheme") == PLAIN).select("lineage", "t", F.col("own").alias("plain_own"))
+    j = stages.join(plain, ["lineage", "t"], "left")
+    other = F.col("scheme") != PLAIN
+    part = j.agg(
+        F.coalesce(F.exp(F.avg(F.when(other & (F.col("own") > 0) & (F.col("plain_own") > 0), F.log(F.col("own") / F.col("plain_own"))))), F.lit(default_ratio)).alias("ratio"),
+        F.avg(F.when(other & (F.col("t") > 0), F.col("overlap"))).alias("rho_rep"),
+        F.avg(F.when(~other & (F.col("t") > 0), F.col("overlap"))).alias("rho_plain"),
+    )
+    length = stages.groupBy("lineage").agg(F.count_distinct("t").alias("n")).agg(F.sum(F.col("n") - 1).alias("more"), F.sum("n").alias("all"), F.count("*").alias("n"))
+    q = F.least(F.greatest(F.try_divide("more", "all"), F.lit(0.05)), F.lit(0.95))
+    return part.withColumns({"q": length.select(q).scalar(), "n": length.select("n").scalar()})

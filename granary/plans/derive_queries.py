@@ -215,3 +215,28 @@ def ordered_listing(spark, d):
     r = table(spark, d, "region")
     k = r.select(F.concat(F.lower("r_name"), F.lit("/é")).alias("key")).union(r.select(F.concat(F.lower("r_name"), F.lit("/z")))).distinct()
     return k.select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("rn"))
+
+
+@register("span_restore", "SELECT doc_id AS id, CASE WHEN doc_id % 30 <> 0 THEN sha256(substr(text, 11, 40) || substr(text, 1, 10)) END AS sha FROM documents WHERE length(text) >= 50")
+def span_restore(spark, d):
+    """Two spans of each text put together; one text in thirty has a span beyond its chunk."""
+    docs = table(spark, d, "documents").filter("length(text) >= 50")
+    backing = docs.select(F.col("doc_id").alias("sha"), F.col("text").alias("payload"))
+    far = F.when(F.col("doc_id") % 30 == 0, F.char_length("text")).otherwise(10)
+    spans = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), far.alias("offset"), F.lit(40).alias("length")), F.struct(F.lit(1).alias("ord"), F.lit(0).alias("offset"), F.lit(10).alias("length")))).alias("s"))
+    return dv.restored(spans.select("id", "sha", "s.*"), backing).select("id", F.sha2("body", 256).alias("sha"))
+
+
+@register("prior_calibration", """WITH s AS (SELECT o_custkey AS lineage, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS t, floor(o_totalprice) AS p, (o_orderkey % 10) / 10.0 AS r FROM orders), n AS (SELECT lineage, count(*) AS n FROM s GROUP BY 1)
+SELECT round(exp(avg(ln(0.5 + r)) FILTER (WHERE p > 0)), 6) AS ratio, round((avg(r) FILTER (WHERE t > 0))::DOUBLE, 6) AS rho_rep, round((avg(1 - r) FILTER (WHERE t > 0))::DOUBLE, 6) AS rho_plain, round(least(greatest((SELECT sum(n - 1) / sum(n) FROM n), 0.05), 0.95), 6) AS q, (SELECT count(*) FROM n) AS n FROM s""")
+def prior_calibration(spark, d):
+    from pyspark.sql import Window
+
+    from granary.operators import planner as pl
+
+    o = table(spark, d, "orders")
+    t = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    s = o.select(F.col("o_custkey").alias("lineage"), t.alias("t"), F.floor("o_totalprice").cast("double").alias("p"), ((F.col("o_orderkey") % 10) / 10).alias("r"))
+    plain = s.select("lineage", "t", F.lit(pl.PLAIN).alias("scheme"), F.col("p").alias("own"), F.when(F.col("t") > 0, 1 - F.col("r")).alias("overlap"))
+    rep = s.select("lineage", "t", F.lit("rep").alias("scheme"), (F.col("p") * (0.5 + F.col("r"))).alias("own"), F.when(F.col("t") > 0, F.col("r")).alias("overlap"))
+    return pl.priors(plain.unionByName(rep)).select(*[F.round(c, 6).alias(c) for c in ("ratio", "rho_rep", "rho_plain", "q")], "n")
