@@ -12,7 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, read again; a folder of its own only where none is set.
 
     A checkpoint computes its plan twice and hands its constraints on to the next round's plan, where they multiply; a table
-    has neither fault.
+    has neither fault. The table goes when the driver's process ends.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,4 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
