@@ -29,10 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: the lineage ends there and a lost executor costs no recomputation.
 
-    Partitions of the result are those of the files, so ids made from it are the same in every attempt of a task.
+    Partitions of the result are those of the files, so ids made from it are the same in every attempt of a task. The table goes
+    when the driver's process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +44,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Holds Arrow batches of the session to ``most`` bytes where they are at Spark's default of 64 MB.
+
+    A batch of texts is held by the JVM's writer, on the way, and by the worker, for each task at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, most)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

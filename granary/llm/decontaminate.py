@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import small_batches
+
 WINDOW = 10
 #: UTF-8 bytes of item texts whose tables are held at a time by a task, and those that a call takes at most.
 BLOCK_BYTES, MOST_BYTES = 8 << 20, 256 << 20
@@ -99,6 +101,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def searched(text: pa.Scalar, tables: list[Benchmark]) -> tuple[int, int, list[str]]:
+    """Words of a text, words inside occurrences, items found."""
+    w = words_of(text.as_py()) if text.is_valid else []
+    covered: list[tuple[int, int]] = []
+    items: set[str] = set()
+    for x in tables:
+        x.hits(w, covered, items)
+    return len(w), sum(e - s for s, e in merged(covered)), sorted(items)
+
+
 def groups_of(bench: DataFrame, item_id: str, text: str) -> list[list[tuple[str, bytes]]]:
     """Items in groups of at most BLOCK_BYTES, on the driver after a check of their size."""
     held = bench.filter(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
@@ -125,19 +137,12 @@ def contamination(docs: DataFrame, bench: DataFrame, carry: tuple[str, ...] = ("
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [Benchmark(g, window) for g in held.value]
         for b in batches:
-            n_words, n_hit, found = [], [], []
-            for t in b.column(b.num_columns - 1).cast(pa.binary()):
-                w = words_of(t.as_py()) if t.is_valid else []
-                covered: list[tuple[int, int]] = []
-                items: set[str] = set()
-                for x in tables:
-                    x.hits(w, covered, items)
-                n_words.append(len(w))
-                n_hit.append(sum(e - s for s, e in merged(covered)))
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=names)
+            found = [searched(t, tables) for t in b.column(b.num_columns - 1).cast(pa.binary())]
+            columns = zip(*found, strict=True) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)]], names=names)
 
     schema = kept.select(*carry).schema.add("n_words", T.LongType()).add("n_hit", T.LongType()).add("items", T.ArrayType(T.StringType()))
+    small_batches(docs.sparkSession)
     return kept.mapInArrow(scan, schema)
 
 
@@ -148,12 +153,19 @@ def query(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without a hit, with their own columns."""
-    names = list(docs.columns)
-    safe = docs.select(*[F.col(f"`{c}`").alias(f"__granary_{i}") for i, c in enumerate(names)], F.col(text).alias("text"))
-    clean = contamination(safe, bench, tuple(f"__granary_{i}" for i in range(len(names)))).filter("n_hit = 0")
-    return clean.select(*[F.col(f"__granary_{i}").alias(c) for i, c in enumerate(names)])
+def keep_clean(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The documents without a hit, with their own columns: batches pass through with the others' rows taken out."""
+    held = docs.sparkSession.sparkContext.broadcast(groups_of(bench, item_id, text))
+    place = docs.columns.index(text)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [Benchmark(g, window) for g in held.value]
+        for b in batches:
+            clean = [not searched(t, tables)[1] for t in b.column(place).cast(pa.binary())]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(sift, docs.schema)
 
 
 ORACLE = r"""

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import written
+from granary.llm.common import small_batches, written
 
 WINDOW = 2048
 END = 1
 #: A vocabulary file's name in the tokenizers folder.
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -139,6 +139,7 @@ def pieces(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), tex
                     cols.append(pa.array(held, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
+    small_batches(docs.sparkSession)
     return kept.mapInArrow(cut, schema)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower, let, words, written
+from granary.llm.common import ascii_lower, let, small_batches, words, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             found = np.fromiter((fingerprint(t.as_py()) if t.is_valid else 0 for t in b.column(1).cast(pa.binary())), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(of, f"id {kind}, fp bigint")
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import written
+from granary.llm.common import small_batches, written
 
 LENGTH, TRIGGER = 200, 64
 HOT_LOCAL, HOT_TOTAL = 64, 10_000
@@ -364,6 +364,7 @@ def _packed_texts(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
 
 def covered(docs: DataFrame, text: str = "text") -> DataFrame:
     """(uid, runs): array<struct<start, count>> of starts of repeated strings, by row."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
     found = written(settled(texts))
     asked = found.filter("compare > 0").groupBy("uid").agg(F.collect_list(F.struct("start", "count", "offset", "compare", "hot")).alias("asked"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.labelled import held_out, logistic, training
-from granary.llm.common import written
+from granary.llm.common import small_batches, written
 
 ORDER = 6
 #: Taken from each count of a class, which so leaves what it has seen once or twice to the shared counts; and from a shared count.
@@ -174,6 +174,7 @@ def measured(docs: DataFrame, table, id_col: str = "doc_id", text: str = "text")
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(id, peak, mean, score) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = written(training(labels, label, MOST_LABELLED, id_col))
     fitted = known.filter(F.col("fold") == CALIBRATION)
     counts = written(gram_counts(docs, known.select("id", "y", (F.col("fold") == CALIBRATION).alias("late")), id_col, text))
