@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, packing, pii, quality_rules, simhash
+from granary.llm import decontaminate, near_copies, packing, pii, quality_rules
 from granary.llm.common import table, written
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates, texts alike in 0.8 of their five-word shingles, the document with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

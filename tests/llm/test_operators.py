@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import decontaminate, packing, pii, quality_model, quality_rules, queries, secrets, simhash, suffix_dedup, toxicity, url_filter
+from granary.llm import decontaminate, near_copies, packing, pii, quality_model, quality_rules, queries, secrets, simhash, suffix_dedup, toxicity, url_filter
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -157,6 +157,38 @@ def test_simhash_keeps_one_of_each_group(edges):
     assert sorted(r.doc_id for r in kept.collect()) == [6, 12] and kept.columns == edges.columns
 
 
+def test_near_copies_of_the_stage(spark):
+    """Every pair at 0.8 of five-word shingles links, far beyond three bits; a group with more members than pairs are made for at once too."""
+    r = random.Random(11)
+    texts = []
+    for k in range(40):
+        base = words(120, 100 + k).split()
+        texts.append(base)
+        for _ in range(40 if k == 0 else 3):
+            texts.append([x if r.random() > 0.02 else f"w{r.random()}" for x in base])
+    common = words(30, 7).split()
+    texts += [common + words(60, 300 + k).split() for k in range(30)] + [[], [], ["a", "b"], ["A", "b"]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(None, " ".join(texts[0]))]
+    sets = [near_copies.shingles(t.encode()) for _, t in rows[:-1]]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near_copies.alike(sets[i], sets[j])]
+    for i, j in links:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    fps = [simhash.fingerprint(t.encode()) for _, t in rows[:-1]]
+    assert sum((fps[i] ^ fps[j]).bit_count() > simhash.RADIUS for i, j in links) > 100
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENTS).repartition(5)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == [-1, *(i for i in range(len(sets)) if root(i) == i)]
+
+
 # ---- 5: decontamination ----
 
 ITEMS = [("b", words(80, 2)), ("a", "one"), ("c", words(12, 9)), ("d", "  "), (None, "same text here"), ("e", "same text here"), ("e2", None)]
