@@ -12,7 +12,8 @@ by length twice: over the whole text, and over its most toxic window. A logistic
 fold of labelled documents with class models that leave the fold out; the models that score have it in.
 
 Counting: each task sums distinct grams before the shuffle; a gram is a number of 48 bits, exact. The model that goes to all
-tasks is an array of ``CELLS`` bytes, whatever the corpus: grams share a cell by hash and weigh in it by their counts. Labelled
+tasks is an array of ``CELLS`` bytes by hash, and where grams of unlike evidence share a cell the grams themselves, sorted: each
+has its own evidence, and the model grows with the grams of contested cells that have any. Labelled
 rows are at most ``MOST_LABELLED``, whose ids and labels are broadcast, so that no text is shuffled; calibration takes
 ``MOST_FITTED`` of them.
 
@@ -23,6 +24,7 @@ held out. Repeated rows are scored one by one. Without labels of both classes th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ ORDER = 6
 DISCOUNT, SHARED_DISCOUNT = 2.0, 0.75
 #: Bytes of the window whose mean evidence is the greatest of a text.
 WINDOW = 8
-CELLS = 1 << 24
+CELL_BITS = 24
+CELLS = 1 << CELL_BITS
+#: In a cell: its grams differ, look them up.
+CONTESTED = -128
 #: Evidence in a cell is a signed byte of so many steps to a nat.
 STEPS = 16
 MOST_LABELLED, MOST_FITTED = 200_000, 20_000
@@ -56,9 +61,17 @@ def grams(text: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", held, 0, (1,)) & _MASK if n > 0 else np.empty(0, np.uint64)
 
 
-def cells(g: np.ndarray) -> np.ndarray:
+class Model(NamedTuple):
+    """Steps by cell; grams of contested cells that have evidence, sorted as signed numbers, and their steps."""
+
+    cells: np.ndarray
+    grams: np.ndarray
+    steps: np.ndarray
+
+
+def cells(g: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
     mixed = (g >> np.uint64(24)) * np.uint64(_MIX_HIGH) + (g & np.uint64((1 << 24) - 1)) * np.uint64(_MIX_LOW)
-    return ((mixed & np.uint64((1 << 36) - 1)) >> np.uint64(12)).astype(np.int64)
+    return ((mixed & np.uint64((1 << 36) - 1)) >> np.uint64(36 - bits)).astype(np.int64)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +145,43 @@ def evidence(counts: DataFrame, discount: float = DISCOUNT, shared_discount: flo
     return joined.select("gram", "n", (F.log(p("toxic")) - F.log(p("ordinary"))).alias("llr"))
 
 
-def model(counts: DataFrame) -> np.ndarray:
-    """The evidence of each cell; what comes to the driver is at most a row for each cell."""
+def model(counts: DataFrame, bits: int = CELL_BITS) -> Model:
+    """The evidence of each gram; what comes to the driver is a row for each cell with evidence and the grams with evidence of contested ones."""
     low = (1 << 24) - 1  # products stay below 2^60, so nothing overflows
     high, rest = F.shiftright("gram", 24), F.col("gram").bitwiseAND(F.lit(low))
     cell = (high * _MIX_HIGH + rest * _MIX_LOW).bitwiseAND(F.lit((1 << 36) - 1))
-    cell = F.shiftright(cell, 36 - 24)
-    by_cell = evidence(counts).groupBy(cell.cast("int").alias("cell")).agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).alias("llr"))
+    cell = F.shiftright(cell, 36 - bits)
     step = F.round(F.greatest(F.least(F.col("llr") * STEPS, F.lit(127.0)), F.lit(-127.0))).cast("tinyint")
-    found = by_cell.select("cell", step.alias("step")).filter("step <> 0").toArrow()
-    out = np.zeros(CELLS, dtype=np.int8)
-    out[found.column("cell").to_numpy()] = found.column("step").to_numpy()
+    held = evidence(counts).select("gram", cell.cast("int").alias("cell"), step.alias("step"))
+    some = F.collect_list(F.when(F.col("step") != 0, F.struct("gram", "step")))
+    by_cell = held.groupBy("cell").agg(F.min("step").alias("least"), F.max("step").alias("most"), some.alias("some")).filter("least <> 0 OR most <> 0")
+    one = F.array(F.struct(F.lit(None).cast("long").alias("gram"), F.col("least").alias("step")))
+    found = by_cell.select("cell", F.explode(F.when(F.col("least") == F.col("most"), one).otherwise(F.col("some"))).alias("x")).select("cell", "x.gram", "x.step").toArrow()
+    own = found.column("gram").is_valid().to_numpy()
+    cell_of, steps = found.column("cell").to_numpy(), found.column("step").to_numpy()
+    table = np.zeros(1 << bits, dtype=np.int8)
+    table[cell_of] = np.where(own, CONTESTED, steps)
+    g = found.column("gram").fill_null(0).to_numpy()[own]
+    order = np.argsort(g)
+    return Model(table, g[order], steps[own][order].astype(np.int8))
+
+
+def steps_of(g: np.ndarray, held: Model) -> np.ndarray:
+    out = held.cells[cells(g, len(held.cells).bit_length() - 1)]
+    at = np.flatnonzero(out == CONTESTED)
+    if len(at):
+        look = g[at].view(np.int64)
+        i = np.minimum(np.searchsorted(held.grams, look), len(held.grams) - 1)
+        out[at] = np.where(held.grams[i] == look, held.steps[i], 0)
     return out
 
 
-def statistics(text: bytes, table: np.ndarray, window: int = WINDOW) -> tuple[float, float]:
+def statistics(text: bytes, table: Model, window: int = WINDOW) -> tuple[float, float]:
     """Mean evidence of the most toxic window and of the whole text, in nats a byte."""
     g = grams(text)
     if not len(g):
         return 0.0, 0.0
-    sums = np.cumsum(table[cells(g)], dtype=np.int64)
+    sums = np.cumsum(steps_of(g, table), dtype=np.int64)
     if len(g) <= window:
         return float(sums[-1]) / window / STEPS, float(sums[-1]) / len(g) / STEPS
     best = max(int(sums[window - 1]), int((sums[window:] - sums[:-window]).max()))

@@ -409,6 +409,20 @@ def test_toxicity_held_out(spark):
     assert auc(np.array([s for s, _ in held]), np.array([t for _, t in held])) > 0.97
 
 
+def test_toxicity_keeps_evidence_where_grams_share_cells(spark):
+    """More grams than cells: each has the evidence that it has alone, a rare one beside frequent ones too."""
+    docs = spark.createDataFrame([(i, words(60, i) + " idiotism" * (i % 4 == 0)) for i in range(80)] + [(100 + i, words(400, 7)) for i in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0), False) for i in range(60)], "id long, y int, late boolean")
+    counts = toxicity.gram_counts(docs, known).cache()
+    want = {r.gram: round(max(-127.0, min(127.0, r.llr * toxicity.STEPS))) for r in toxicity.evidence(counts).collect()}
+    g = np.array(list(want), np.int64).view(np.uint64)
+    assert len(g) > 1 << 8
+    for bits in (8, toxicity.CELL_BITS):
+        got = toxicity.steps_of(g, toxicity.model(counts, bits))
+        assert max(abs(int(x) - y) for x, y in zip(got, want.values(), strict=True)) <= 1  # halves may round either way
+    assert len({abs(x) for x in want.values()}) > 3
+
+
 def test_learned_scores_on_edges(spark, edges, nothing, labels):
     none = labels.filter("false")
     for query in (toxicity.query, quality_model.query):
