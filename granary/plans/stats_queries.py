@@ -199,7 +199,7 @@ def admission_policies(spark, d):
     """A customer's orders are stages; line items are objects, whole or as one plain copy; all policies, exact plan included."""
     r = px.refs(spark, d).join(px.versions(spark, d).select("version_id", "key", "ts"), "version_id")
     stage = F.dense_rank().over(Window.partitionBy("key").orderBy("ts", "version_id")) - 1
-    r = r.withColumn("stage", stage).filter("stage < 6")
+    r = r.withColumn("stage", stage)
     items = F.array_sort(F.collect_set(F.struct((F.col("sha") % 40).cast("string").alias("id"), F.lit(100).cast("long").alias("size"))))
     rep = r.groupBy("key", "stage").agg(items.alias("objects"), F.sum("length").alias("total"))
     rep = rep.select(F.col("key").cast("string").alias("case"), (F.col("key") % 2 == 0).alias("hinted"), "stage", F.lit(1).alias("rank"), F.lit("shared").alias("name"), "objects", F.transform("objects", lambda x: x["id"]).alias("sample"), "total")
