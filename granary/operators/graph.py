@@ -93,11 +93,11 @@ def strong_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise ValueError(f"no end after {most_rounds} rounds")
 
 
-def chain_depths(parents: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(node, depth, cyclic) of a forest (node, parent): walks up all at once, doubling; what has no end is cyclic."""
+def chain_depths(parents: DataFrame) -> DataFrame:
+    """(node, depth, cyclic) of a forest (node, parent): walks up all at once, doubling; what has no end after as many steps as there are nodes is cyclic."""
     state = cut(parents.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    span = 1
-    while span < most_depth:
+    span, nodes = 1, state.count()
+    while span <= nodes and not state.filter("up IS NOT NULL").isEmpty():
         nxt = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         state = cut(state.join(nxt, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
         span *= 2
