@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,16 @@ class Case:
             states = sorted(grown, key=lambda s: s[0])[:width]
         return states[0][1]
 
+    def least_left(self, at: int, held: set) -> float:
+        """No plan from a stage on costs less: an object's cost is shared out over all stages that may still use it."""
+        size: dict = {}
+        uses: dict = {}
+        for stage in self.stages[at:]:
+            for o in set().union(*(c[1] for c in stage)):
+                size[o] = min([size.get(o, math.inf), *(c[1][o] for c in stage if o in c[1])])
+                uses[o] = uses.get(o, 0) + 1
+        return sum(min(sum((size[o] + OBJECT_OVERHEAD) / uses[o] for o in c[1] if o not in held) for c in stage) for stage in self.stages[at:])
+
     def best(self, most_states: int = 100_000) -> list[int]:
         """Branch and bound over all choices; refuses to guess beyond its bound of states."""
         have: set = set()
@@ -58,7 +69,7 @@ class Case:
             states += 1
             if states > most_states:
                 raise ValueError("more states than the exact plan allows")
-            if cost > found[0]:
+            if cost > found[0] or cost + self.least_left(at, held) > found[0] + 1e-6:
                 continue
             if at == len(self.stages):
                 found = (cost, path) if cost <= found[0] else found
