@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a temporary one (one machine, tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset on one machine a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: the lineage ends there and a lost executor costs no recomputation.
 
-    Partitions of the result are those of the files, so ids made from it are the same in every attempt of a task. The table goes
-    when the driver's process ends.
+    A reading may split the files otherwise than the one before, so ids of rows are made before they are written. The table goes
+    with :func:`dropped`, or when the driver's process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

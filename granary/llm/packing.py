@@ -18,7 +18,9 @@ pieces' order, which a lost executor doesn't change.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -51,8 +53,26 @@ def tokenizer(path: str):
 
 #: Vocabulary path -> words' ids, for the life of a worker process: tasks that follow in it find the words of those before.
 _KNOWN: dict[str, dict[str, bytes]] = {}
-#: Marks after a letter or digit at a part's end. The tokenizer parts them there itself; no apostrophe, which may belong to the word.
-_MARKS = r"""([\pL0-9])([.,!?;:#$%&*|()"]+)( |$)"""
+#: Marks after an ASCII letter or digit at a part's end. The tokenizer parts them there itself; no apostrophe, which may belong to
+#: the word, and no other letter, which normalization may turn into one with a combining mark that joins them.
+_MARKS = r"""([A-Za-z0-9])([.,!?;:#$%&*|()"]+)( |$)"""
+#: Texts that stay as they are: names of special tokens, and combining marks, which capitals and small letters compose with unlike.
+_WHOLE = r"<\||\pM"
+#: Normalizers and pattern of words for which parts between spaces have the ids that they have in the text. Fixed values.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+@lru_cache(maxsize=2)
+def parts_suffice(path: str) -> bool:
+    """Whether a vocabulary file's tokenizer drops white space, never joins over it and lower-cases; any other gets whole texts."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    split, *rest = (held["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    wanted = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    levels = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    names = [t["content"] for t in held["added_tokens"]]
+    return (held["normalizer"] or {}).get("normalizers") == _NORMALIZERS and split == wanted and rest == levels and held["model"]["type"] == "BPE" and all(re.fullmatch(r"<\|\S+", n) for n in names)
 
 
 def _ids_of(parts: list[str], path: str) -> list[bytes]:
@@ -77,15 +97,19 @@ def _ids_of(parts: list[str], path: str) -> list[bytes]:
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's begin (and the last one's end).
 
-    The tokenizer drops white space and never joins over it, so ids of a text are those of its parts between spaces; marks at
-    a word's end are set apart and ASCII capitals lower-cased first, as the tokenizer would, so that there are fewer. Arrow
-    splits the texts and numbers their distinct parts; only those are looked up, and only words never seen are encoded.
+    Where the tokenizer drops white space and never joins over it (``parts_suffice``), ids of a text are those of its parts
+    between spaces; marks at a word's end are set apart and ASCII capitals lower-cased first, as the tokenizer would, so that
+    there are fewer. Arrow splits the texts and numbers their distinct parts; only those are looked up, and only words never
+    seen are encoded. Of any other tokenizer whole texts are encoded.
     """
     flat = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not parts_suffice(path):
+        found = [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(flat.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
     for space in "\n\t\r":
         flat = pc.replace_substring(flat, space, " ")
     plain = pc.replace_substring_regex(pc.ascii_lower(flat), _MARKS, r"\1 \2\3")
-    flat = pc.if_else(pc.match_substring(flat, "<|"), flat, plain)  # may hold the names of special tokens, which are read as they stand
+    flat = pc.if_else(pc.match_substring_regex(flat, _WHOLE), flat, plain)
     lists = pc.split_pattern(flat, " ")
     coded = lists.flatten().dictionary_encode()
     bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
@@ -196,7 +220,8 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 def pack(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, end: int = END, ids: bool = False) -> DataFrame:
     """Each piece with its sequence_id and offset there."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, carry, text, window, end, ids)).withColumn("__piece", F.monotonically_increasing_id())
+    # numbered before they are written: a later reading may split the files otherwise
+    cut = written(pieces(docs, path, carry, text, window, end, ids).withColumn("__piece", F.monotonically_increasing_id()))
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = cut.withColumn("__salt", F.pmod(F.xxhash64("__piece"), F.lit(salts)))
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
