@@ -217,9 +217,33 @@ def test_decontamination(spark, edges, monkeypatch):
     assert rows_of(decontaminate.query(edges, bench)) == want
     clean = decontaminate.keep_clean(edges, bench)
     assert clean.columns == edges.columns and clean.count() == sum(not w[-1] for w in want)
-    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
-    with pytest.raises(ValueError, match="benchmark"):
-        decontaminate.query(edges, bench)
+
+
+def test_decontamination_on_random_words(spark, monkeypatch):
+    pick = random.Random(5)
+    text = lambda n: " ".join(pick.choice("abc") for _ in range(n))
+    items = [(f"i{k}", text(pick.choice((0, 1, 3, 9, 10, 11, 14)))) for k in range(12)] + [("i0", "a b c a"), ("i1", "a b c a")]
+    docs = [(k, text(pick.randint(0, 400))) for k in range(60)]
+    want = sorted([(d, *contaminated(t, items)) for d, t in docs], key=key)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows_of(decontaminate.query(table, bench)) == want
+    live = []
+    built = decontaminate.Benchmark.__init__
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate.Benchmark, "__init__", lambda self, group, window: (live.append(len(group)), built(self, group, window))[1])
+    assert rows_of(decontaminate.query(table, bench)) == want
+    assert len(live) > 3 and max(live) < len(items)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(table, bench).collect()) == [w[0] for w in want if not w[-1]]
+
+
+def test_decontamination_without_items_and_with_clashing_names(spark, edges):
+    none = spark.createDataFrame([(None, "a b"), ("x", None), ("y", " ")], "item_id string, text string")
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in decontaminate.query(edges, none).collect()} == {(0, 0, False)}
+    assert decontaminate.keep_clean(edges, none).count() == edges.count()
+    docs = spark.createDataFrame([(1, "a b", "z")], "n_words int, text string, items string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([("i", "b")], "item_id string, text string"), carry=("n_words", "items"))
+    assert [tuple(r) for r in found.collect()] == [(1, "z", 2, 1, ["i"])]
 
 
 # ---- 7: personal data, 4: secrets ----
