@@ -1,17 +1,22 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
-Rules (host, path prefix, verdict) and a table of listed canonical URLs (host and path) are entries under string keys. A page's
-possible keys are few: for rules, each host suffix with as many labels as some rule's host, with each path prefix as long as
-some rule's path; for the list, its own canonical URL. They are probed in a blocked Bloom filter: a key's bits lie in one
-64-bit block, found by the same hash, so a probe is one look and one mask. Only possible hits leave their row, and an exact
-hash join on the keys removes false positives. Pages without a possible hit are not shuffled.
+A page's canonical URL, its host and path without what often varies (``www.`` or ``m.`` ahead, ``/`` or ``.html`` at the end,
+scheme, query and fragment), is looked up in a list of canonical URLs. A blocked Bloom filter of the list goes to all tasks: a
+URL's bits lie in one 64-bit block, found by the same hash, so a probe is one look and one mask. Only possible hits leave the
+rest, and an exact hash join with the list removes false positives; both sides of it are salted, so that a URL that a third of
+all pages have is dealt out. Pages without a possible hit are not shuffled. URLs are taken apart once: host, path, rule and key
+are written, and the two branches read them.
 
-The filter has at most ``MOST_BLOCKS`` blocks, so its size is bounded whatever the list's; a list beyond that gets more false
-positives, which the join removes. The list itself is joined by its keys, broadcast only if Spark finds it small.
+The filter has at most ``MOST_BLOCKS`` blocks, so its size is bounded whatever the list's; a longer list gets more false
+positives, which the join removes. Rules (host, path prefix, verdict) are a short parameter and branches of one ``CASE``.
+
+The list of the registered query is made of the pages themselves, by a rule on their markup: pages whose adverts hold a fourth
+of the article's characters or more.
 
 Built-in functions only. Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-not listed. Repeated rows and a null ``page_id`` are judged one by one. Listed nulls are ignored, repeated entries count once.
-The longest rule that fits wins; of equally long ones the one with the longer host, then the one that blocks.
+not listed. Repeated rows and a null ``page_id`` are judged one by one. Listed nulls are ignored, repeated entries count once;
+an empty list blocks nothing. The longest rule that fits wins; of equally long ones the one with the longer host, then the one
+that blocks. Columns of ``pages`` may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower
+from granary.llm.common import ascii_lower, written
 
 #: host, path prefix, verdict.
 RULES = (
@@ -29,10 +34,10 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Host labels whose pages make up the list of the registered query.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win")
 #: Blocks of 64 bits; bits a key; bits set by a key.
 MOST_BLOCKS, BITS, PROBES = 1 << 18, 12, 4
+#: Over how many partitions the join deals a URL.
+SALTS = 8
 
 
 def host(url: Column) -> Column:
@@ -46,6 +51,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.regexp_extract(rest, r"^[^?#]*+", 0)), F.lit(""))
 
 
+def canonical(host_: Column, path_: Column) -> Column:
+    """Null where there is no host."""
+    return F.when(host_ != "", F.concat(F.regexp_replace(host_, r"^(www|m)\.", ""), F.regexp_replace(path_, r"(/|\.html)\z", "")))
+
+
 def _block(h: Column, blocks: int) -> Column:
     return F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(blocks - 1)).cast("int")
 
@@ -68,70 +78,66 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def may_hold(filter_: Column, h: Column, blocks: int) -> Column:
-    """Of a key's hash; plain expressions, so that the filter stays one value a task and is in no row."""
+    """Of a key's hash; names the filter once."""
     return F.get(filter_, _block(h, blocks)).bitwiseAND(_mask(h)) == _mask(h)
 
 
+def fitting(host_: Column, path_: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
+    """struct<rule, verdict> of the longest rule that fits, or null."""
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "block")):
+        fits = ((host_ == h) | F.endswith(host_, F.lit("." + h))) & F.startswith(path_, F.lit(p))
+        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))).otherwise(out)
+    return out
+
+
 def judged(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``carry`` columns of ``pages`` with host, path, rule and verdict. listed: column ``key``, a host and path."""
-    spark = pages.sparkSession
-    rows = [("r" + h + p, h + p, v, len(h + p), len(h), v == "block") for h, p, v in rules]
-    schema = "key string, rule string, verdict string, size int, host_size int, blocks boolean"
-    own = spark.createDataFrame(rows, schema).withColumn("listed", F.lit(False))
-    urls = listed.filter(F.col("key").isNotNull() & (F.col("key") != "")).select(F.concat(F.lit("u"), "key").alias("key")).distinct().withColumn("listed", F.lit(True))
-    n = urls.count() + len(rows)
-    blocks = 64
+    """``carry`` columns of ``pages`` with host, path, rule and verdict. listed: column ``key``, canonical URLs."""
+    urls = written(listed.filter("key IS NOT NULL AND key <> ''").select("key").distinct())
+    n, blocks = urls.count(), 64
     while blocks < MOST_BLOCKS and blocks * 64 < n * BITS:
         blocks *= 2
-    filter_ = bloom(own.select("key").unionAll(urls.select("key")), blocks).scalar()
-    entries = own.unionByName(urls, allowMissingColumns=True)
-
-    labels = sorted({h.count(".") + 1 for h, _, _ in rules})
-    lengths = sorted({len(p) for _, p, _ in rules})
-    n_labels = F.char_length("__host") - F.char_length(F.replace("__host", F.lit("."), F.lit(""))) + 1
-    fitting = [
-        F.when((n_labels >= k) & (F.char_length("__path") >= m) & (F.col("__host") != ""), F.concat(F.lit("r"), F.substring_index("__host", ".", -k), F.left("__path", F.lit(m))))
-        for k in labels
-        for m in lengths
-    ]
-    fitting.append(F.when(F.col("__host") != "", F.concat(F.lit("u"), "__host", "__path")))
-    held = pages.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], host(F.col(url)).alias("__host"), path(F.col(url)).alias("__path"))
-    held = held.withColumns({f"__k{i}": k for i, k in enumerate(fitting)}).withColumns({f"__h{i}": F.xxhash64(f"__k{i}") for i in range(len(fitting))})
-    possible = F.array(*[F.when(may_hold(filter_, F.col(f"__h{i}"), blocks), F.col(f"__k{i}")) for i in range(len(fitting))])
-    held = held.withColumn("__keys", F.array_compact(possible))
     names = [f"__c{i}" for i in range(len(carry))]
-
-    clear = held.filter(F.size("__keys") == 0).select(*names, "__host", "__path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    hit = held.filter(F.size("__keys") > 0).withColumn("__row", F.monotonically_increasing_id())
-    hit = hit.select("__row", *names, "__host", "__path", F.explode("__keys").alias("key")).join(entries, "key", "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct("size", "host_size", "blocks", "rule", "verdict"))).alias("best")
-    kept = [F.first(c).alias(c) for c in (*names, "__host", "__path")]
-    hit = hit.groupBy("__row").agg(*kept, best, F.coalesce(F.bool_or("listed"), F.lit(False)).alias("listed"))
-    verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    hit = hit.select(*names, "__host", "__path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
-    return clear.unionAll(hit).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__host").alias("host"), F.col("__path").alias("path"), "rule", "verdict")
-
-
-def spam_list(pages: DataFrame, labels: tuple[str, ...] = LISTED_LABELS, url: str = "url") -> DataFrame:
-    """Canonical URLs (``key``) of the pages with one of these labels in their host."""
-    held = pages.select(host(F.col(url)).alias("h"), path(F.col(url)).alias("p"))
-    return held.filter(F.arrays_overlap(F.split("h", r"\."), F.array(*[F.lit(x) for x in labels]))).select(F.concat("h", "p").alias("key"))
+    held = pages.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(carry, names, strict=True)], host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    held = held.withColumns({"fit": fitting(F.col("host"), F.col("path"), rules), "key": canonical(F.col("host"), F.col("path"))})
+    possible = may_hold(bloom(urls, blocks).scalar(), F.xxhash64("key"), blocks)
+    # a rule decides whatever the list says
+    held = written(held.withColumn("key", F.when(F.col("fit").isNull() & F.col("key").isNotNull() & possible, F.col("key"))))
+    clear = held.filter("key IS NULL").withColumn("listed", F.lit(False))
+    salt = F.pmod(F.xxhash64(*names, "host", "path", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    entries = urls.select(F.col("key").alias("entry"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("dealt"))
+    asked = held.filter("key IS NOT NULL").withColumn("salt", salt)
+    hit = asked.join(entries, (asked["key"] == entries["entry"]) & (asked["salt"] == entries["dealt"]), "left").withColumn("listed", F.col("entry").isNotNull())
+    out = clear.select(*names, "host", "path", "fit", "listed").unionAll(hit.select(*names, "host", "path", "fit", "listed"))
+    verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*[F.col(x).alias(c) for c, x in zip(carry, names, strict=True)], "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def advert_heavy(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Canonical URLs (``key``) of the pages whose adverts hold a fourth of the article's characters or more."""
+    adverts = F.char_length(F.array_join(F.regexp_extract_all(F.col(html), F.lit(r'<div class="ad">([^<]*)</div>'), F.lit(1)), ""))
+    article = F.split_part(F.split_part(F.col(html), F.lit("<article>"), F.lit(2)), F.lit("</article>"), F.lit(1))
+    article = F.char_length(F.regexp_replace(article, "<[^>]*>", ""))
+    some = pages.filter((adverts > 0) & (4 * adverts >= article))
+    return some.select(canonical(host(F.col(url)), path(F.col(url))).alias("key"))
 
 
 def query(pages: DataFrame) -> DataFrame:
     """``op3_url_filter``."""
-    return judged(pages, spam_list(pages))
+    return judged(pages, advert_heavy(pages))
 
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-_LABELS_SQL = ", ".join(f"'{x}'" for x in LISTED_LABELS)
-ORACLE = f"""
+ORACLE = rf"""
 WITH rules(h, p, v) AS (VALUES {_RULES_SQL}),
-pg AS (SELECT row_number() OVER () AS k, page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+pg AS (SELECT row_number() OVER () AS k, page_id, html, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+cn AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)\z', '') END AS u,
+         length(array_to_string(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1), '')) AS ads,
+         length(regexp_replace(split_part(split_part(html, '<article>', 2), '</article>', 1), '<[^>]*>', '', 'g')) AS article FROM pg),
 fit AS (SELECT k, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC, length(h) DESC, v DESC) AS n
         FROM pg JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
-listed AS (SELECT DISTINCT host || path AS u FROM pg WHERE list_has_any(string_split(host, '.'), [{_LABELS_SQL}]))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN u IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM pg LEFT JOIN (SELECT * FROM fit WHERE n = 1) f USING (k) LEFT JOIN listed ON u = host || path
+listed AS (SELECT DISTINCT u FROM cn WHERE u <> '' AND ads > 0 AND 4 * ads >= article)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed.u IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM cn LEFT JOIN (SELECT * FROM fit WHERE n = 1) f USING (k) LEFT JOIN listed ON listed.u = cn.u
 """

@@ -303,13 +303,22 @@ def test_secret_entropy_and_allow_list(spark):
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://COM/en/", "https://a.example.COM/en/77?x", "https://example.com/en/6", "https://xexample.com/en/7", "ftp://net/de/1", "http://u.example.net/de/80#x",
             "http://spam-farm.example.org/a/b?c", "http://spam-farm.example.org/a/b", "http://x.org/es/", "http://org/es", "http://a..com/en/1", "http://b.com?/en/", "x://y://z.com/en/"]
-    rows = list(enumerate(urls)) + [(None, "http://m.com/en/")]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in CLASH})
+    urls += ["https://www.listed.org/p/", "ftp://LISTED.org/p.html?x#y", "http://m.listed.org/p", "http://listed.org/P", "http://listed.com/en/1", "http://long.org/" + "p" * 100_000]
+    bad, good = '<div class="ad">buy this</div><article><p>so <b>it</b> is</article>', '<div class="ad">x</div><article>' + "word " * 90 + "</article>"
+    rows = [(k, u, bad if u in (urls[17], urls[21], urls[22], "http://spam-farm.example.org/a/b?c", None) else good) for k, u in enumerate(urls)]
+    rows += [(None, "http://m.com/en/", None), (7, None, bad), *[(9, "http://listed.org/p", "")] * 30]
+    schema = "page_id long, url string, html string"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in CLASH})
     db = duckdb.connect()
-    db.register("pages", spark.createDataFrame(rows, "page_id long, url string").toPandas())
-    assert rows_of(url_filter.query(df).select("page_id", "host", "path", "rule", "verdict")) == sorted(db.sql(url_filter.ORACLE.replace("page_id, host", "page_id::BIGINT AS page_id, host")).fetchall(), key=key)
-    empty = spark.createDataFrame([], "page_id long, url string")
+    db.register("pages", spark.createDataFrame(rows, schema).toPandas())
+    found = rows_of(url_filter.query(df).select("page_id", "host", "path", "rule", "verdict"))
+    assert found == sorted(db.sql(url_filter.ORACLE.replace("page_id, host", "page_id::BIGINT AS page_id, host")).fetchall(), key=key)
+    assert {r[4] for r in found if r[0] == 9} == {"block"} and sum(r[4] == "block" and r[3] is None for r in found) == 30 + 6
+    empty = spark.createDataFrame([], schema)
     assert url_filter.query(empty).count() == 0
+    assert {r.verdict for r in url_filter.judged(df, empty.select(F.col("url").alias("key")), rules=()).collect()} == {"allow"}
+    clash = url_filter.judged(spark.createDataFrame([("a://b.com/c", 1, 2)], "url string, key int, fit int"), empty.select(F.col("url").alias("key")), carry=("key", "fit"))
+    assert [tuple(r) for r in clash.collect()] == [(1, 2, "b.com", "/c", None, "allow")]
 
 
 def test_bloom_filter_has_no_false_negative(spark):
