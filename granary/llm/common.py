@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: the lineage ends there and a lost executor costs no recomputation.
 
     A reading may split the files otherwise than the one before, so ids of rows are made before they are written. The table goes
     with :func:`dropped`, or when the driver's process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/granary-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,23 +5,27 @@ Removed is each byte that a string of ``LENGTH`` bytes covers which also starts
 Parsing. A rolling hash of ``TRIGGER`` bytes is computed at each place; the place with the least hash in a string of
 ``LENGTH`` bytes is its trigger. Every string has one, and equal strings have it at the same offset, so text is cut into
 phrases alike wherever it occurs, without stretches that have no trigger. The strings that share a trigger begin in a run; the
-run with what its last string covers is a phrase in its parse context.
+run with what its last string covers is a phrase in its context. Phrases overlap by ``LENGTH - 1`` bytes, so that each string
+lies in one phrase, and no string's order depends on the phrase that follows.
 
-Order. The full suffix array of a repetitive text is that of its distinct phrases and of their sequence. What matters here is
-only which strings have an equal neighbour in it, so the order is taken in two steps:
+Order. In the corpus order of all strings, which suffix arrays of dictionary and parse combine to, equal strings are
+neighbours: those of one phrase's occurrences in the parse, and those of different phrases in the dictionary.
 
-1. Phrases are sorted by trigger and by the hash of trigger and context (64 bits each). A context that occurs twice makes all
-   its strings repeated, and text that is copied whole ends here. A trigger that occurs once has no repeated string. What
-   remains is where repeated passages begin or end: equal triggers in different contexts.
-2. The distinct contexts of such triggers are the dictionary. Its suffixes are sorted by prefix doubling on the bytes
-   themselves, to a depth of ``LENGTH``; equal neighbours are the repeated strings. No hash decides there.
+1. The parse: its phrases are sorted by trigger and context, 64 bits of hash each, as numbers of the dictionary's entries. A
+   phrase that occurs twice makes all its strings repeated, and text that is copied whole ends here. A trigger that occurs in
+   one phrase only has no string in another. How the parse goes on after a phrase would order its occurrences among
+   themselves; they are equal strings, so nothing depends on it, and it isn't computed.
+2. The dictionary: different phrases of one trigger. Suffixes are sorted by prefix doubling on the bytes themselves, to a depth
+   of ``LENGTH``; equal neighbours are the repeated strings.
 
 Hot groups. A task settles phrases that it holds twice itself and sends one of them on, so a passage that a third of all
-documents share is one row from each task. A trigger that a task finds in more than ``HOT_LOCAL`` different contexts, or all
-tasks in more than ``HOT_TOTAL``, is not gathered: its strings are compared one by one by hashes of 128 bits, spread over all
-partitions and again settled first where they repeat within a task. Texts cross a shuffle twice, compressed, keyed by row.
+documents share is one row from each task. A trigger that a task finds in more than ``HOT_LOCAL`` different phrases, or all
+tasks in more than ``HOT_TOTAL``, is not gathered: its strings are sorted by hashes of 128 bits instead of their bytes, spread
+over all partitions and again settled first where they repeat within a task; of such a trigger a task sends one row under its
+key. All strings are compared in either way.
 
-The documents are read three times and must give the same rows in the same partitions each time, as a table of files does.
+Texts are numbered and written once, compressed; every later step reads that table, so a row's number doesn't depend on how
+files are split. They cross a shuffle twice, keyed by number.
 
 Defined results: a null text counts as empty: 0 bytes, none removed. Texts under ``LENGTH`` bytes are kept whole. Repeated rows
 are documents of their own, and so copies of each other. A null ``doc_id`` is passed through. An empty table gives no rows.
@@ -46,7 +50,7 @@ HOT_LOCAL, HOT_TOTAL = 64, 10_000
 HELD, DICTIONARY_BYTES = 1 << 18, 1 << 20
 #: Places of a long text that are parsed at a time.
 STRETCH = 1 << 17
-PENDING, TWIN, COVERED, MARKER, EDGE = 0, 1, 2, 3, 4
+PENDING, TWIN, COVERED, MARKER, EDGE, EDGE_TWIN = range(6)
 _ALL = (1 << 64) - 1
 
 
@@ -153,7 +157,7 @@ def _covered_rows(uid: np.ndarray, start: np.ndarray, count: np.ndarray) -> tupl
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of (uid, text), settled where the task itself can settle them."""
+    """Phrases of (uid, packed text), settled where the task itself can settle them."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     names = ["key", "context", "uid", "start", "count", "offset", "kind", "hot"]
@@ -180,19 +184,20 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, s, c = _covered_rows(uid[twin], start[twin].astype(np.int64), count[twin].astype(np.int64))
         spread = _mix(u.astype(np.uint64) * np.uint64(STRETCH + 1) + s.astype(np.uint64))
         yield rows(spread, 0, u, s, c, 0, COVERED, False)
-        m = ~twin & hot
-        yield rows(_mix(uid[m].astype(np.uint64) * np.uint64(STRETCH + 1) + start[m].astype(np.uint64)), 0, uid[m], start[m], count[m], offset[m], EDGE, True)
-        k = np.unique(key[m])
-        yield rows(k, 0, -1, 0, 0, 0, MARKER, True)
-        m = twin & one
-        yield rows(*pick(m), TWIN, hot[m])
+        # strings are compared whatever others hold: dealt by place, and one row of the key tells the others
+        place = _mix(uid.astype(np.uint64) * np.uint64(STRETCH + 1) + start.astype(np.uint64))
+        for m, kind in ((~twin & hot, EDGE), (twin & one & hot, EDGE_TWIN)):
+            yield rows(place[m], 0, uid[m], start[m], count[m], offset[m], kind, True)
+        yield rows(np.unique(key[hot]), 0, -1, 0, 0, 0, MARKER, True)
+        m = twin & one & ~hot
+        yield rows(*pick(m), TWIN, False)
         m = ~twin & ~hot
         yield rows(*pick(m), PENDING, False)
 
     for b in batches:
-        for u, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            if t.is_valid:
-                for found in phrases(t.as_py()):
+        for u, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if z.is_valid:
+                for found in phrases(unpacked(z.as_py())):
                     held.append((*found, np.full(len(found[0]), u, np.int64)))
                     size += len(found[0])
                     if size >= HELD:
@@ -214,6 +219,7 @@ def settled(texts: DataFrame) -> DataFrame:
     twin = (kind == PENDING) & (F.col("n_context") > 1)
     compare = (
         F.when(kind == EDGE, 1)
+        .when(kind == EDGE_TWIN, 2)
         .when((kind == PENDING) & (F.col("n_context") == 1) & more, 1)
         .when(((kind == TWIN) | twin) & F.col("first") & more, 2)
         .otherwise(0)
@@ -350,8 +356,8 @@ def unpacked(z: bytes) -> bytes:
     return pa.decompress(z[8:], decompressed_size=int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _packed_texts(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """``carry``, uid and the text compressed (``z``)."""
+def numbered(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """``carry``, a number (``uid``) and the compressed text (``z``) of each row, written."""
     kept = docs.select(*carry, F.monotonically_increasing_id().alias("uid"), F.col(text).alias("__text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,16 +365,14 @@ def _packed_texts(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
             z = pa.array([packed(t.as_py()) if t.is_valid else None for t in b.column(b.num_columns - 1).cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*b.schema.names[:-1], "z"])
 
-    return kept.mapInArrow(pack, T.StructType(kept.schema.fields[:-1]).add("z", T.BinaryType()))
+    return written(kept.mapInArrow(pack, T.StructType(kept.schema.fields[:-1]).add("z", T.BinaryType())), "none")
 
 
-def covered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, runs): array<struct<start, count>> of starts of repeated strings, by row."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
-    found = written(settled(texts))
+def covered(texts: DataFrame) -> DataFrame:
+    """(uid, runs): array<struct<start, count>> of starts of repeated strings, by row of a table of :func:`numbered`."""
+    found = written(settled(texts.select("uid", "z")))
     asked = found.filter("compare > 0").groupBy("uid").agg(F.collect_list(F.struct("start", "count", "offset", "compare", "hot")).alias("asked"))
-    opened = _packed_texts(docs, [], text).join(asked.hint("shuffle_hash"), "uid").select("uid", "z", "asked").mapInArrow(_opened, _COMPARED)
+    opened = texts.select("uid", "z").join(asked.hint("shuffle_hash"), "uid").select("uid", "z", "asked").mapInArrow(_opened, _COMPARED)
     more = opened.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_compared, "uid bigint, start int, count int")
     runs = found.filter("covered").select("uid", "start", "count").unionAll(more)
     return runs.groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
@@ -376,10 +380,11 @@ def covered(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicated(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``carry`` columns with n_bytes, n_removed, n_spans and kept (binary): what is left of each text."""
+    small_batches(docs.sparkSession)
     names = [f"__c{i}" for i in range(len(carry))]
     safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("text"))
-    texts = _packed_texts(safe, names, "text")
-    joined = texts.join(covered(safe).hint("shuffle_hash"), "uid", "left").select(*names, "z", "runs")
+    texts = numbered(safe, names, "text")
+    joined = texts.join(covered(texts).hint("shuffle_hash"), "uid", "left").select(*names, "z", "runs")
     schema = T.StructType(joined.schema.fields[:-2])
     for c in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(c, T.LongType())

@@ -399,6 +399,18 @@ def test_repeated_strings(spark, edges, tmp_path, monkeypatch, hot):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
     want = sorted([(d, *b) for (d, _), b in zip(rows, brute.repeated_bytes([t for _, t in rows]), strict=True)], key=key)
     assert rows_of(suffix_dedup.query(spark.read.parquet(path))) == want
+    # rows in another order in each reading, and files split otherwise between building and running
+    late = suffix_dedup.query(spark.read.parquet(path).repartition(5, F.rand()))
+    monkeypatch.setattr(suffix_dedup, "HOT_TOTAL", 3)
+    try:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "31")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert rows_of(late) == want
+        assert rows_of(suffix_dedup.query(spark.read.parquet(path))) == want
+    finally:
+        for c in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(c)
     e = edge_rows()
     want = sorted([(x[0], *b) for x, b in zip(e, brute.repeated_bytes([x[1] for x in e]), strict=True)], key=key)
     assert rows_of(suffix_dedup.query(edges)) == want
