@@ -3,12 +3,13 @@
 Base: e-mail addresses, IPv4 addresses, card numbers that pass Luhn, and international phone numbers. They are the seeds of
 the method: the word to the left of an identifier is a lexical pattern, and patterns and the distinct strings they introduce
 form a graph. Rounds score it: a pattern by the mean score of its strings (shrunk, so that few strings prove little), a string
-by its patterns (one minus the product of their doubts); seeds stay at 1. Patterns of high confidence and support then mark
-strings of the shape of an identifier that no base pattern knows.
+by its patterns (one minus the product of their doubts); seeds stay at 1. A string that scores high is known from then on and
+supports other patterns, until no further pattern is sure. Patterns of high confidence and support mark strings of the shape of
+an identifier that no base pattern knows.
 
 All of it is built-in functions. Texts are read once; what leaves that pass is places, and the few tokens with a digit or an
 at sign with the word before them. The graph is grouped before it is joined, so a pattern or string that holds a third of
-all occurrences is one row a pattern and string.
+all occurrences is one row a pattern and string. Texts aren't shuffled: the sure patterns, up to a stated number, go to the tasks.
 
 The regular expressions are those of the contract made safe for long runs: possessive repeats and look-behinds that match
 the same places without trying each start in a run again.
@@ -32,8 +33,10 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A token with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Rounds of scoring; the least confidence and distinct seeds of a pattern; what is added to its count; characters of context.
-ROUNDS, CONFIDENCE, SUPPORT, SHRINK, REACH = 3, 0.9, 5, 1.0, 100
+#: Rounds of scoring at most; the least confidence and known strings of a pattern; what is added to its count; characters of context.
+ROUNDS, CONFIDENCE, SUPPORT, SHRINK, REACH = 10, 0.9, 5, 1.0, 100
+#: Sure patterns that go to all tasks; where there are more, tokens are joined to them.
+MOST_HELD = 1000
 #: What a discovered identifier looks like once quotes and end marks are gone: six digits at least, or an at sign inside.
 SHAPE = r"^[A-Za-z0-9._%+@:/-]{6,64}$"
 
@@ -83,32 +86,51 @@ def _tokens(text: Column, base: Column) -> Column:
     return let(matches, lambda m: F.filter(F.transform(m, lambda s, i: one(m, s, i)), lambda t: t["seed"] | (t["value"].rlike(SHAPE) & ((F.char_length(_digits(t["value"])) >= 6) | t["value"].rlike("[A-Za-z0-9]@[A-Za-z0-9]")))))
 
 
-def patterns(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence, support) of (pattern, value, seed)."""
+def patterns(tokens: DataFrame, most_rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, confidence, support) of (pattern, value, seed), of the patterns that are sure.
+
+    Each round scores patterns by their strings and strings by the patterns that have support; a string of high score counts as
+    known from then on, and so supports further patterns. It ends when no pattern becomes sure any more, or after ``most_rounds``.
+    """
     edges = written(tokens.filter("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     strings = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for k in range(rounds):
-        # bounded by what is known: a string keeps the score of a seed, or gets what its patterns say
-        scored = edges.join(strings, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(SHRINK))).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("support"))
-        if k < rounds - 1:
-            doubt = F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999999))))
-            strings = written(edges.join(scored, "pattern").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.lit(1.0) - F.exp(doubt)).alias("score")))
-    return scored
+    known, n = None, -1
+    for _ in range(most_rounds):
+        by_pattern = edges.join(strings, "value").groupBy("pattern")
+        scored = by_pattern.agg((F.sum("score") / (F.count("*") + F.lit(SHRINK))).alias("confidence"), F.count(F.when(F.col("score") >= CONFIDENCE, True)).alias("support"))
+        # few of all patterns, so a small table that Spark may broadcast
+        spoken = written(scored.filter(F.col("support") >= SUPPORT))
+        known = spoken.filter(F.col("confidence") >= CONFIDENCE)
+        last, n = n, known.count()
+        if n == last:
+            break
+        doubt = F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999999))))
+        said = edges.join(spoken, "pattern").groupBy("value").agg(doubt.alias("doubt"))
+        seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+        strings = written(seeds.join(said, "value", "left").select("value", F.greatest("seed", F.lit(1.0) - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score")))
+    return known
 
 
 def _marked(docs: DataFrame, carry: tuple[str, ...], text: str) -> DataFrame:
     """``carry`` columns as __c0, __c1 ... with __base and __spans."""
     body = F.coalesce(F.col(text), F.lit(""))
-    seen = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], body.alias("__text")).withColumn("base", base_spans(F.col("__text")))
+    names = [f"__c{i}" for i in range(len(carry))]
+    seen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], body.alias("__text")).withColumn("base", base_spans(F.col("__text")))
     seen = seen.withColumn("tokens", _tokens(F.col("__text"), F.col("base"))).drop("__text")
-    seen = written(seen).withColumn("__row", F.monotonically_increasing_id())  # of files: the same in every reading
+    seen = written(seen.withColumn("__row", F.monotonically_increasing_id()))
     tokens = seen.select("__row", F.explode("tokens").alias("t")).select("__row", "t.*")
-    sure = patterns(tokens).filter((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern")
-    new = tokens.filter(~F.col("seed")).join(sure, "pattern", "left_semi")
-    new = new.groupBy("__row").agg(F.collect_list(F.struct("start", F.lit(4).alias("k"), "end")).alias("new"))
-    both = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
-    joined = seen.join(new, "__row", "left")
-    return joined.select(*[f"__c{i}" for i in range(len(carry))], F.col("base").alias("__base"), both.alias("__spans"))
+    sure = written(patterns(tokens).select("pattern"))
+    span = lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("k"), t["end"].alias("end"))
+    if sure.count() <= MOST_HELD:
+        # one row of at most MOST_HELD patterns of at most REACH characters goes to all tasks
+        held = sure.agg(F.collect_list("pattern").alias("__sure")).withColumn("__one", F.lit(1))
+        joined = seen.withColumn("__one", F.lit(1)).join(F.broadcast(held), "__one")
+        new = F.transform(F.filter("tokens", lambda t: ~t["seed"] & F.array_contains("__sure", t["pattern"])), span)
+    else:
+        found_ = tokens.filter(~F.col("seed")).join(sure, "pattern", "left_semi")
+        joined = seen.join(found_.groupBy("__row").agg(F.collect_list(F.struct("start", F.lit(4).alias("k"), "end")).alias("__new")), "__row", "left")
+        new = F.coalesce("__new", F.array().cast("array<struct<start:int,k:int,end:int>>"))
+    return joined.select(*names, F.col("base").alias("__base"), F.array_sort(F.concat("base", new)).alias("__spans"))
 
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -60,3 +60,58 @@ def repeated_bytes(texts: list[str | None], length: int = 200) -> list[tuple[int
         spans = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
         out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+def pii_tokens(text: str | None) -> list[tuple[int, int, str, str, bool]]:
+    """(start, end, value, word before, overlaps a base span) of tokens that may be identifiers."""
+    t, base, out, last = text or "", pii(text), [], ""
+    held = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if re.search("[0-9@]", m.group())]
+    at = 0
+    for m in held:
+        before = re.findall(r"[^\x20\x09-\x0D]+", t[max(at, m.start() - 100) : m.start()])
+        word = (before[-1] if before else last)[-100:].lower()
+        at, last = m.end(), m.group()
+        value = re.sub(r"[^A-Za-z0-9]+\Z", "", re.sub(r"^[\"'(\[<]+", "", m.group()))
+        start = m.start() + len(m.group()) - len(re.sub(r"^[\"'(\[<]+", "", m.group()))
+        end = start + len(value)
+        seed = any(s < end and start < e for s, _, e in base)
+        like = re.fullmatch(r"[A-Za-z0-9._%+@:/-]{6,64}", value) and (len(re.sub("[^0-9]", "", value)) >= 6 or re.search("[A-Za-z0-9]@[A-Za-z0-9]", value))
+        if seed or like:
+            out.append((start, end, value, word, seed))
+    return out
+
+
+def pii_patterns(tokens: list[tuple[str, str, bool]], confidence: float = 0.9, support: int = 5, rounds: int = 10) -> set[str]:
+    """Patterns that are sure, of (value, pattern, seed)."""
+    edges: dict[tuple[str, str], bool] = {}
+    for v, p, seed in tokens:
+        if p:
+            edges[p, v] = edges.get((p, v), False) or seed
+    seeds: dict[str, float] = {}
+    for (_, v), seed in edges.items():
+        seeds[v] = max(seeds.get(v, 0.0), float(seed))
+    strings, known = dict(seeds), None
+    for _ in range(rounds):
+        scored = {}
+        for q in {p for p, _ in edges}:
+            mine = [strings[v] for p, v in edges if p == q]
+            scored[q] = (sum(mine) / (len(mine) + 1), sum(x >= confidence for x in mine))
+        new = {q for q, (c, n) in scored.items() if n >= support and c >= confidence}
+        if known is not None and len(new) == len(known):
+            return new
+        known = new
+        for v in strings:
+            doubt = 1.0
+            for p, w in edges:
+                if w == v and scored[p][1] >= support:
+                    doubt *= 1 - min(scored[p][0], 0.999999)
+            strings[v] = max(seeds[v], 1 - doubt)
+    return known or set()
+
+
+def pii_spans(texts: list[str | None]) -> list[str]:
+    """All spans of each text, the discovered ones included."""
+    held = [pii_tokens(t) for t in texts]
+    sure = pii_patterns([(v, w, seed) for x in held for _, _, v, w, seed in x])
+    names = ("email", "ip", "card", "phone", "context")
+    return [written(pii(t) + [(s, 4, e) for s, e, _, w, seed in x if not seed and w in sure], names) for t, x in zip(texts, held, strict=True)]

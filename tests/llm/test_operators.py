@@ -272,6 +272,26 @@ def test_pii_learns_contexts(spark):
     assert found[100] == "context:25:38" and found[101] == "" and found[102] == ""
 
 
+def test_pii_discovers_as_a_plain_version_does(spark, monkeypatch):
+    pick = random.Random(3)
+    texts: list[str | None] = [None, ""]
+    for i in range(300):
+        kind = pick.choice(("mail:", "Mail:", "ref", "(id", "no.", "the", "call"))
+        known = pick.choice((f"u{pick.randint(0, 40)}@a.example", "+49 30 1234567", f"10.0.0.{pick.randint(0, 300)}"))
+        odd = pick.choice((f"A-{pick.randint(100000, 100040)}", f"{pick.randint(100000, 100040)}", f"x@{pick.randint(0, 9)}", "12", "'777-888-9'."))
+        texts.append(f"say {kind} {known if pick.random() < (0.97 if kind.lower() == 'mail:' else 0.5) else odd}, then {pick.choice(('ref', 'mail:', 'code'))} {odd} \n {odd} {known} end")
+    # a pattern with seeds finds codes; they alone support a second pattern, and that a third
+    texts += [f"key: k{i}@b.example" for i in range(200)] + [f"key: CODE-{100000 + i}" for i in range(9)] + [f"badge CODE-{100000 + i % 9}" for i in range(20)] + ["badge NEW-424242", "badge CODE-100003."]
+    want = brute.pii_spans(texts)
+    assert any("context" in w for w in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.query(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(pii, "MOST_HELD", 0)
+    found = {r.doc_id: r.spans for r in pii.query(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_pii_redaction(edges):
     out = pii.redact(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
