@@ -56,6 +56,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A key with more than one in so many rows is hot: there are at most as many such keys.
+HOT_SHARE = 200
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` with ``right``, which has a row for each ``key`` at most; both are written tables.
+
+    Rows of hot keys stay where they are and get their at most HOT_SHARE rows of ``right`` by broadcast; no task gets all rows of
+    such a key. Null keys meet nothing.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = [r[0] for r in counts.filter(F.col("n") > max(1, left.count() // HOT_SHARE)).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    cold = ~F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.filter(cold).join(right, key, how).unionByName(left.filter(~cold).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, how))
+
+
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Holds Arrow batches of the session to ``most`` bytes where they are at Spark's default of 64 MB.
 

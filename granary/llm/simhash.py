@@ -10,10 +10,14 @@ fingerprint is therefore split in two halves of 32 bits with one tree each: two
 with at most one differing bit, so each tree is searched with ``r = 1``, where about a fourth of the queries at a node must go
 both ways, and whole fingerprints are compared at the leaves. Both trees together find every pair.
 
-The top of each tree, built on the driver from a bounded sample of points, deals the points into shards; a point is owned by
-one shard and queries each shard whose boundary lies within ``r``. A shard builds the rest of its tree and returns not its
-pairs but a spanning forest of them, at most one edge for each of its points: components are the same and a dense group makes
-no quadratic output. Components over all shards come from min-label rounds with pointer jumping over the forest's edges.
+The top of each tree, built on the driver from a sample of ``SAMPLED`` points a shard, deals the points into shards, of which
+there are as many as the points need; a point is owned by one shard and queries each shard whose boundary lies within ``r``. A
+shard builds the rest of its tree and returns not its pairs but a spanning forest of them, at most one edge for each of its
+points: components are the same and a dense group makes no quadratic output. Points whose halves are all equal are parted by
+whole fingerprints instead, with ``r = 3``, in the top and in the shards, so that they don't fill one shard or one leaf.
+Components over all shards come from min-label rounds with pointer jumping over the forest's edges.
+
+A fingerprint or component that many documents have is counted before it is joined, and its documents stay where they are.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other. A null ``doc_id`` counts in no minimum; a
 component of nulls has a null ``component_id``. Repeated rows are separate documents. An empty table gives an empty result.
@@ -22,6 +26,7 @@ component of nulls has a null ``component_id``. Repeated rows are separate docum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower, let, small_batches, words, written
+from granary.llm.common import ascii_lower, dropped, let, small_batches, spread_join, words, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Points to a shard, about; a shard is one task's memory.
-SHARD_POINTS = 50_000
-#: Points from which the top of a tree is built on the driver, and the most shards of a tree.
-SAMPLE_POINTS, MOST_SHARDS = 65_536, 4096
+#: Points to a shard, about; a shard is one task's memory. At most a factor 1.3 of them at each level of the top are asked of two shards.
+SHARD_POINTS = 250_000
+#: Points a shard from which the top of a tree is built on the driver: one in SHARD_POINTS / SAMPLED of all, eight bytes each.
+SAMPLED = 64
 #: Points of a leaf, compared directly.
 LEAF = 64
 
@@ -57,13 +62,13 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, fp): the signed 64-bit pattern of each document's fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((fingerprint(t.as_py()) if t.is_valid else 0 for t in b.column(1).cast(pa.binary())), dtype=np.uint64, count=b.num_rows)
+            found = np.fromiter((fingerprint(t.as_py(), n) if t.is_valid else 0 for t in b.column(1).cast(pa.binary())), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     small_batches(docs.sparkSession)
@@ -71,39 +76,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def _half(x: np.ndarray, tree: int) -> np.ndarray:
-    return ((x >> np.uint64(32 * tree)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return (x >> np.uint64(32 * tree)) & np.uint64(0xFFFFFFFF)
+
+
+#: What of a fingerprint a node measures: the lower or upper half, or all of it.
+WHOLE = 2
 
 
-def _cut(half: np.ndarray) -> tuple[int, int] | None:
+def _part(x: np.ndarray, kind: int) -> np.ndarray:
+    return x if kind == WHOLE else _half(x, kind)
+
+
+def _even(part: np.ndarray) -> tuple[int, int] | None:
     """A vantage point and a distance with points on both sides, as even as can be; None if all points are equal."""
     best = None
-    for v in half[:: max(1, len(half) // 5)][:6]:
-        d = np.bitwise_count(half ^ v)
+    for v in part[:: max(1, len(part) // 5)][:6]:
+        d = np.bitwise_count(part ^ v)
         mid = int(np.median(d))
         for mu in (mid, mid - 1):
             inside = int(np.count_nonzero(d <= mu))
-            if 0 < inside < len(half) and (best is None or abs(2 * inside - len(half)) < best[0]):
-                best = (abs(2 * inside - len(half)), int(v), mu)
+            if 0 < inside < len(part) and (best is None or abs(2 * inside - len(part)) < best[0]):
+                best = (abs(2 * inside - len(part)), int(v), mu)
     return best and (best[1], best[2])
 
 
-def top(sample: np.ndarray, tree: int, shards: int) -> list:
-    """Nested [vantage, distance, near, far]; a leaf is a shard's number."""
+def _cut(points: np.ndarray, tree: int) -> tuple[int, int, int] | None:
+    """(kind, vantage, distance) that parts the points, by their halves if those differ."""
+    for kind in (tree, WHOLE):
+        found = _even(_part(points, kind))
+        if found:
+            return kind, *found
+    return None
+
+
+class Node(NamedTuple):
+    kind: int
+    vantage: int
+    distance: int
+    near: Node | int
+    far: Node | int
+
+
+def top(sample: np.ndarray, tree: int, shards: int) -> Node | int:
+    """A tree whose leaves are shards' numbers."""
     count = iter(range(2 * shards))
 
-    def grow(half: np.ndarray, n: int):
-        cut = _cut(half) if n > 1 and len(half) > 1 else None
+    def grow(points: np.ndarray, n: int) -> Node | int:
+        cut = _cut(points, tree) if n > 1 and len(points) > 1 else None
         if cut is None:
             return next(count)
-        near = np.bitwise_count(half ^ np.uint32(cut[0])) <= cut[1]
-        return [*cut, grow(half[near], n // 2), grow(half[~near], n // 2)]
+        kind, v, mu = cut
+        near = np.bitwise_count(_part(points, kind) ^ np.uint64(v)) <= mu
+        return Node(kind, v, mu, grow(points[near], n // 2), grow(points[~near], n // 2))
 
-    return grow(_half(sample, tree), shards)
+    return grow(sample, shards)
 
 
-def routed(points: np.ndarray, node, tree: int, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _reach(kind: int, within: int) -> int:
+    """How far two points within the distance, of which the tree must find those alike in its half, differ in what a node measures."""
+    return within if kind == WHOLE else within // 2
+
+
+def routed(points: np.ndarray, node: Node | int, within: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, rows that it owns or that query it, whether it owns them)."""
-    half = _half(points, tree)
 
     def walk(node, rows: np.ndarray, own: np.ndarray):
         if not len(rows):
@@ -111,8 +146,9 @@ def routed(points: np.ndarray, node, tree: int, radius: int) -> Iterator[tuple[i
         if isinstance(node, int):
             yield node, rows, own
             return
-        v, mu, near, far = node
-        d = np.bitwise_count(half[rows] ^ np.uint32(v)).astype(np.int16)
+        kind, v, mu, near, far = node
+        radius = _reach(kind, within)
+        d = np.bitwise_count(_part(points[rows], kind) ^ np.uint64(v)).astype(np.int16)
         for child, reach, inside in ((near, d <= mu + radius, d <= mu), (far, d > mu - radius, d > mu)):
             yield from walk(child, rows[reach], own[reach] & inside[reach])
 
@@ -121,9 +157,7 @@ def routed(points: np.ndarray, node, tree: int, radius: int) -> Iterator[tuple[i
 
 def forest(points: np.ndarray, own: np.ndarray, tree: int, within: int = RADIUS) -> np.ndarray:
     """Edges (pairs of rows) that join just the rows that pairs within the distance join, of which one row at least is owned."""
-    half, parent = _half(points, tree), np.arange(len(points))
-    radius = within // 2
-
+    parent = np.arange(len(points))
     edges: list[np.ndarray] = []
 
     def roots(i: np.ndarray) -> np.ndarray:
@@ -159,12 +193,13 @@ def forest(points: np.ndarray, own: np.ndarray, tree: int, within: int = RADIUS)
         p, q = stack.pop()
         if not len(p) or not len(q):
             continue
-        cut = _cut(half[p]) if len(p) > LEAF else None
+        cut = _cut(points[p], tree) if len(p) > LEAF else None
         if cut is None:
             compare(p, q)
             continue
-        v, mu = np.uint32(cut[0]), cut[1]
-        dp, dq = np.bitwise_count(half[p] ^ v).astype(np.int16), np.bitwise_count(half[q] ^ v).astype(np.int16)
+        kind, v, mu = cut
+        radius = _reach(kind, within)
+        dp, dq = (np.bitwise_count(_part(points[x], kind) ^ np.uint64(v)).astype(np.int16) for x in (p, q))
         stack += [(p[dp <= mu], q[dq <= mu + radius]), (p[dp > mu], q[dq > mu - radius])]
     return np.concatenate(edges) if edges else np.empty((0, 2), dtype=np.int64)
 
@@ -173,29 +208,27 @@ def links(points: DataFrame, within: int = RADIUS) -> DataFrame:
     """(a, b): edges between distinct fingerprints ``fp`` that join the same points as all pairs within the distance."""
     n = points.count()
     shards = 1
-    while shards < min(MOST_SHARDS, n / SHARD_POINTS):
+    while shards < n / SHARD_POINTS:
         shards *= 2
     spark = points.sparkSession
     trees: list = [0, 0]
-    if shards > 1:  # a sample by hash of the fingerprint, the same in every run; at most about SAMPLE_POINTS numbers
-        share = min(1.0, SAMPLE_POINTS / n)
-        at = [r.fp for r in points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * SAMPLE_POINTS).collect()]
-        sample = np.array(sorted(at), dtype=np.int64).view(np.uint64)
+    if shards > 1:  # by hash of the fingerprint, the same in every run
+        share = min(1.0, SAMPLED * shards / n)
+        at = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow().column("fp").to_numpy()
+        sample = np.sort(at).view(np.uint64)
         trees = [top(sample, t, shards) for t in (0, 1)]
     held = spark.sparkContext.broadcast(trees)
-    radius = within // 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for t in (0, 1):
-                for shard, rows, own in routed(x, held.value[t], t, radius):
+                for shard, rows, own in routed(x, held.value[t], within):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), 2 * shard + t, dtype=np.int64)), pa.array(x[rows].view(np.int64)), pa.array(own)], names=["shard", "fp", "own"])
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["fp"].to_numpy().view(np.uint64)
-        e = forest(x, pdf["own"].to_numpy(), int(key[0]) % 2, within)
         fp = pdf["fp"].to_numpy()
+        e = forest(fp.view(np.uint64), pdf["own"].to_numpy(), int(key[0]) % 2, within)
         return pd.DataFrame({"a": fp[e[:, 0]], "b": fp[e[:, 1]]})
 
     dealt = points.select("fp").mapInArrow(deal, "shard bigint, fp bigint, own boolean")
@@ -206,29 +239,34 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges`` (a, b) the smallest node of its component.
 
     Each round a node takes the smallest label around it and then that label's own label, so chains halve; every round is a
-    written table. The driver sees only the number of labels that changed.
+    written table, and those before it go. The driver sees only the number of labels that changed.
     """
     e = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = written(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        seen = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        near = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        new = written(near.join(jump, near["root"] == jump["via"], "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
+        around = spread_join(e, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        near = written(labels.join(around, labels["node"] == around["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("via")))
+        far = spread_join(near, labels.select(F.col("node").alias("via"), F.col("root").alias("far")), "via", "left")
+        new = written(far.select("node", "was", F.least("via", F.coalesce("far", "via")).alias("root")))
         changed = new.filter(F.col("root") != F.col("was")).count()
-        labels = new.select("node", "root")
+        dropped(near, labels)
+        labels = new
         if not changed:
-            return labels
+            dropped(e)
+            return labels.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", within: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", within: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id): each document's fingerprint and the smallest id that links reach from it."""
-    fps = written(fingerprints(docs, id_col, text))
-    edges = written(links(fps.select("fp").distinct(), within))
+    fps = written(fingerprints(docs, id_col, text, shingle))
+    points = written(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    edges = written(links(points.select("fp"), within))
     roots = components(edges)
-    held = fps.join(roots, fps["fp"] == roots["node"], "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = held.groupBy("root").agg(F.min("id").alias("component_id"))
-    return held.join(least, "root").select("id", "fp", "component_id")
+    dropped(edges)
+    held = written(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = held.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = spread_join(held, written(least), "root").select("fp", "component_id")
+    return spread_join(fps, written(of_fp), "fp").select("id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import xxhash
+
 
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
@@ -43,6 +45,14 @@ def secrets(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    grams = [" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def repeated_bytes(texts: list[str | None], length: int = 200) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, digest of what is left) of each text."""
     held = [(t or "").encode() for t in texts]

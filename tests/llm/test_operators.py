@@ -118,7 +118,7 @@ def simhash_groups(ids, fps):
 
 def test_simhash(edges):
     rows = edge_rows()
-    fps = [simhash.fingerprint((r[1] or "").encode()) for r in rows]
+    fps = [brute.fingerprint(r[1]) for r in rows]
     want = [(r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, simhash_groups([r[0] for r in rows], fps), strict=True)]
     assert rows_of(simhash.query(edges)) == sorted(want, key=key)
     native = {(r.id, r.fp) for r in simhash.fingerprint_columns(edges.filter("doc_id <> 6 AND doc_id <> 7")).collect()}
@@ -129,7 +129,8 @@ def test_simhash_trees_find_every_pair(spark, monkeypatch):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(800)]
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
-    points = list({*base, *(flip(r.choice(base), r.randint(1, 5)) for _ in range(1200)), *(flip(base[0], r.randint(1, 3)) for _ in range(300))})
+    points = list({*base, *(flip(r.choice(base), r.randint(1, 5)) for _ in range(1200)), *(flip(base[0], r.randint(1, 3)) for _ in range(300)),
+                   *(r.getrandbits(32) << 32 | 12345 for _ in range(400)), *(flip(base[1] >> 32 << 32, r.randint(0, 4)) for _ in range(300))})
     monkeypatch.setattr(simhash, "SHARD_POINTS", 100)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp long")
     roots = {x.node: x.root for x in simhash.components(simhash.links(df)).collect()}
@@ -152,6 +153,17 @@ def test_simhash_trees_find_every_pair(spark, monkeypatch):
     assert all(len(v) == 1 for v in group.values()) and len({next(iter(v)) for v in group.values()}) == len(group)
 
 
+def test_simhash_with_hot_groups(spark):
+    text = words(60, 8)
+    near = [text.replace(" ", f" {words(1, k)} ", 1) + " " + words(1, k + 500) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate([text] * 300 + near * 2 + [words(30, k) for k in range(1000, 1060)] + [None] * 90)] + [(None, text)] * 5
+    r = random.Random(4)
+    r.shuffle(rows)
+    fps = [brute.fingerprint(t) for _, t in rows]
+    want = sorted([(d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, simhash_groups([d for d, _ in rows], fps), strict=True)], key=key)
+    assert rows_of(simhash.query(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == want
+
+
 def test_simhash_keeps_one_of_each_group(edges):
     kept = simhash.keep_one(edges.filter("doc_id in (6, 7, 12, 13)"))
     assert sorted(r.doc_id for r in kept.collect()) == [6, 12] and kept.columns == edges.columns
