@@ -60,14 +60,17 @@ def let(value: Column, body) -> Column:
 HOT_SHARE = 200
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: str | None = None) -> DataFrame:
     """``left`` with ``right``, which has a row for each ``key`` at most; both are written tables.
 
     Rows of hot keys stay where they are and get their at most HOT_SHARE rows of ``right`` by broadcast; no task gets all rows of
-    such a key. Null keys meet nothing.
+    such a key. Null keys meet nothing. counts: the column of ``right`` that holds how many rows of ``left`` a key has.
     """
-    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    hot = [r[0] for r in counts.filter(F.col("n") > max(1, left.count() // HOT_SHARE)).collect()]
+    if counts is None:
+        sizes = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    else:
+        sizes = right.select(key, F.col(counts).alias("__n"))
+    hot = [r[0] for r in sizes.filter(F.col("__n") > max(1, left.count() // HOT_SHARE)).collect()]
     if not hot:
         return left.join(right, key, how)
     cold = ~F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -3,38 +3,45 @@
 Words are those of ``simhash``: ASCII lower case, between ASCII white space. A shorter text has its whole word sequence as its
 one shingle. Documents link at the similarity, and a group is what links reach.
 
-Candidates come from a prefix filter, which loses none: under any total order of shingles, two sets of similarity ``t`` share
-one of their first ``n - ceil(t n) + 1``. The order is by frequency in a bounded sample of documents, then by hash; the sample
-changes how many candidates there are, not which pairs are found. Candidates are confirmed on the words themselves.
+Candidates come from two sources, and each is confirmed on the words themselves:
 
-Exact copies are one node. A shingle that many documents have in their prefix first gives pairs with one of them only, and then
-those pairs that links don't join yet, so a dense group costs about a pair for each member.
+1. SimHash. Fingerprints of five-word shingles link through the vantage-point trees of ``simhash``. Copies with few changes,
+   most of all, are found and joined there.
+2. For links that lie beyond its three bits, a prefix filter that loses none. Under any total order of shingles, two sets of
+   similarity ``t`` share one of their first ``n - ceil(t n) + 1``, and what follows that shared place must suffice for ``t``.
+   The order is by a count of shingles over all documents in ``CELLS`` cells, then by hash: rare ones first, so few texts meet
+   under one. Pairs that links already join are left out.
+
+Exact copies are one node. A shingle under which many texts meet first gives pairs with one of them, and only then those pairs
+that links don't join yet, so a dense group costs about a pair for each member. Texts that meet under a shingle are dealt in
+blocks of about ``BLOCK``, and blocks are compared two by two, so no task holds them all.
 
 Defined results: null and empty texts have no shingles and are copies of each other. Rows without an id link nothing. Repeated
-rows of one id are one document.
+rows of one id are one document, linked by any of their texts. Empty tables have no groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches, written
-from granary.llm.simhash import components
+from granary.llm.common import small_batches, spread_join, written
+from granary.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction: shared shingles times the second are at least those of both times the first.
 ALIKE = (4, 5)
-#: Documents in whose shingles frequent ones are looked for, and the most frequent ones that go to all tasks.
-SAMPLE_DOCS, MOST_FREQUENT = 10_000, 100_000
-#: Members of a shingle whose pairs are all made at once, and rounds of one against all for those with more.
+#: Cells in which shingles are counted, four bytes each.
+CELLS = 1 << 20
+#: Texts under a shingle that are compared with each other at once, and rounds of one against all for those with more.
 FEW, STARS = 12, 2
+#: Texts of a block, about.
+BLOCK = 4096
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -49,66 +56,82 @@ def alike(x: set[bytes], y: set[bytes]) -> bool:
     return shared * ALIKE[1] >= (len(x) + len(y) - shared) * ALIKE[0]
 
 
-def hashes(grams: set[bytes]) -> np.ndarray:
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64, count=len(grams)).view(np.int64))
-
-
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that several documents of a sample of (id, text) have."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    some = docs.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """How often shingles of each cell occur in all texts, each counted once a text; a row a cell comes to the driver."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
         for b in batches:
-            parts = [hashes(shingles(t.as_py())) for t in b.column(0).cast(pa.binary()) if t.is_valid]
-            h, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-
-    counts = some.select("text").mapInArrow(of, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    h, c = found.column("h").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of the hashes in the common order, of which two similar sets share one."""
+            for t in b.column(0).cast(pa.binary()):
+                if t.is_valid:
+                    np.add.at(total, (np.unique(shingle_hashes(t.as_py(), SHINGLE)) % np.uint64(CELLS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 1 << 16):
+            part = some[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+
+    found = docs.select("text").mapInArrow(of, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.uint32)
+    out[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    return out
+
+
+def prefix(h: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first of the distinct hashes in the common order, of which two similar sets share one."""
     n = len(h)
     if not n:
         return h
-    rank = np.zeros(n, np.int64)
-    if len(often[0]):
-        at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
-        rank = np.where(often[0][at] == h, often[1][at], 0)
-    return h[np.lexsort((h, rank))][: n - -(-n * ALIKE[0] // ALIKE[1]) + 1]
+    order = np.lexsort((h, often[(h % np.uint64(len(often))).astype(np.int64)]))
+    return h[order[: n - -(-n * ALIKE[0] // ALIKE[1]) + 1]]
 
 
 def signatures(docs: DataFrame, kind: str) -> DataFrame:
-    """(id, copy, n, keys) of (id, text): a digest of the words, the number of shingles and the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+    """(id, copy, n, fp, keys) of (id, text): a digest of the words, the number of shingles, the fingerprint and the prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            copy, count, keys = [], [], []
+            copy, count, fps, keys = [], [], [], []
             for t in b.column(1).cast(pa.binary()):
                 text = t.as_py() if t.is_valid else b""
-                h = hashes(shingles(text))
+                h = shingle_hashes(text, SHINGLE)
+                fps.append(majority(h))
+                h = np.unique(h)
                 copy.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                 count.append(len(h))
-                keys.append(prefix(h, held.value))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copy, pa.binary()), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "n", "keys"])
-
-    return docs.mapInArrow(of, f"id {kind}, copy binary, n bigint, keys array<bigint>")
-
-
-def pairs_of(members: list[tuple], turn: int) -> tuple[list[tuple], bool]:
-    """Pairs of members (n, node, root) with unlike roots and near enough sizes, and whether those are all there are."""
-    near = lambda x, y: x[2] != y[2] and min(x[0], y[0]) * ALIKE[1] >= max(x[0], y[0]) * ALIKE[0]
-    if len(members) <= FEW or turn >= STARS:
-        return [(x[1], y[1]) for x, y in combinations(members, 2) if near(x, y)], True
-    p = members[len(members) // 2 if turn else 0]
-    return [(min(p[1], y[1]), max(p[1], y[1])) for y in members if near(p, y)], False
+                keys.append(prefix(h, held.value).view(np.int64))
+            fp = np.array(fps, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copy, pa.binary()), pa.array(count, pa.int32()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "n", "fp", "keys"])
+
+    return docs.mapInArrow(of, f"id {kind}, copy binary, n int, fp bigint, keys array<bigint>")
+
+
+def pairs_of(n: np.ndarray, pos: np.ndarray, root: np.ndarray, block: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs with unlike roots, near enough sizes and enough after the shared place, of one block or of two."""
+    m = len(n)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    every = np.arange(m)
+    if m > FEW and turn < STARS:
+        rows = np.array([m // 2 if turn else int(np.argmin(pos))])
+    else:
+        rows = every
+    two = block.min() != block.max()
+    a, b = [], []
+    step = max(1, (1 << 22) // m)
+    for at in range(0, len(rows), step):
+        x = rows[at : at + step, None]
+        y = every[None, :]
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        shared = np.minimum(n[x] - pos[x], n[y] - pos[y])  # at most, from the place where both hold the shingle
+        ok = (root[x] != root[y]) & (least * ALIKE[1] >= most * ALIKE[0]) & (shared * (ALIKE[0] + ALIKE[1]) >= (n[x] + n[y]) * ALIKE[0])
+        if len(rows) == m:
+            ok &= x < y
+            if two:
+                ok &= block[x] != block[y]
+        i, j = np.nonzero(ok)
+        a.append(rows[at + i])
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
@@ -129,38 +152,66 @@ def confirmed(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(sure, f"a {kind}, b {kind}")
 
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of (id, fp): those of one fingerprint with its least, and the least of linked ones."""
+    points = written(nodes.groupBy("fp").agg(F.min("id").alias("least")))
+    same = spread_join(nodes, points, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    linked = links(points.select("fp"))
+    ends = linked.join(points.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionAll(ends.select(*_ordered("x", "y"))).distinct()
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """(key, i, j, n, pos, node) of (id, n, keys): texts under each shingle that several have, in blocks i and j to be compared."""
+    members = written(nodes.select("id", "n", F.posexplode("keys").alias("pos", "key")))
+    counts = written(members.groupBy("key").agg(F.count("*").alias("n_key")).filter("n_key > 1"))
+    held = spread_join(members, counts, "key", counts="n_key").withColumn("blocks", F.ceil(F.col("n_key") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    held = held.select("key", "n", "pos", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return held.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), "n", "pos", F.col("id").alias("node"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root): ids that have a near copy and the least id of their group."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     held = written(signatures(texts, kind))
-    least = held.groupBy("copy").agg(F.min("id").alias("a"))
-    edges = written(held.select("id", "copy").join(least, "copy").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    nodes = held.join(least, (held["copy"] == least["copy"]) & (held["id"] == least["a"]), "left_semi").select("id", "n", F.explode("keys").alias("key")).distinct()
-    member = F.struct("n", F.col("id").alias("node"), F.col("id").alias("root"))
-    shared = written(nodes.groupBy("key").agg(F.collect_list(member).alias("m")).filter("size(m) > 1").select("key", F.array_sort("m").alias("m")))
-    turn = 0
-    while True:
+    least = held.groupBy("copy").agg(F.min("id").alias("a"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(least.select("copy", F.col("a").alias("id"), "n", "fp", "keys"))
+    copies = spread_join(held.select("id", "copy"), nodes.select("copy", F.col("id").alias("a")), "copy")
+    edges = written(copies.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
+    pairs = written(by_fingerprint(nodes.select("id", "fp")))
+    edges = edges.unionAll(written(confirmed(pairs, texts, kind)))
+    roots = components(edges)
+    rows = met(nodes.select("id", "n", "keys"))
+    member = F.struct("n", "pos", "node", F.coalesce("root", "node").alias("root"), "block")
+    for turn in range(STARS + 1):
+
         def split(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for m in b.column(0).to_pylist():
-                    found, _ = pairs_of([(x["n"], x["node"], x["root"]) for x in m], turn)
-                    for i in range(0, len(found), 1 << 16):
-                        part = [(min(p), max(p)) for p in found[i : i + (1 << 16)]]
-                        yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in part], schema=pa.schema([("a", b.schema.field(0).type.value_type.field("node").type), ("b", b.schema.field(0).type.value_type.field("node").type)]))
-
-        pairs = written(shared.select("m").mapInArrow(split, f"a {kind}, b {kind}").distinct())
-        edges = edges.union(written(confirmed(pairs, texts, kind)))
-        roots = components(edges)
-        shared = shared.filter(F.size("m") > FEW)
-        if turn >= STARS or shared.isEmpty():
-            return roots
-        roots_of = roots.withColumnRenamed("root", "least")
-        again = shared.select("key", F.explode("m").alias("x")).select("key", "x.n", "x.node").join(roots_of, "node", "left")
-        again = again.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.coalesce("least", "node").alias("root")))).alias("m"))
-        shared = written(again.filter(F.size(F.array_distinct(F.transform("m", lambda x: x["root"]))) > 1))
-        turn += 1
+                for m in b.column(0):
+                    f = m.values
+                    node = f.field("node")
+                    x, y = pairs_of(*(f.field(c).to_numpy(zero_copy_only=False) for c in ("n", "pos", "root", "block")), turn)
+                    for i in range(0, len(x), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(x[i : i + (1 << 16)])), node.take(pa.array(y[i : i + (1 << 16)]))], names=["x", "y"])
+
+        dealt = rows.join(roots, "node", "left").groupBy("key", "i", "j").agg(F.sort_array(F.collect_list(member)).alias("m"))
+        unlike = written(dealt.filter(F.exists("m", lambda x: x["root"] != F.get("m", F.lit(0))["root"])))
+        pairs = written(unlike.select("m").mapInArrow(split, f"x {kind}, y {kind}").select(*_ordered("x", "y")).distinct())
+        if not pairs.isEmpty():
+            edges = edges.unionAll(written(confirmed(pairs, texts, kind)))
+            roots = components(edges)
+        many = unlike.filter(F.size("m") > FEW)
+        if many.isEmpty():
+            break
+        rows = many.select("key", "i", "j", F.explode("m").alias("x")).select("key", "i", "j", "x.n", "x.pos", "x.node", "x.block")
+    return roots
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -48,20 +48,28 @@ SAMPLED = 64
 LEAF = 64
 
 
-def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
-    """Of UTF-8 ``text``: ASCII lower case, words between ASCII white space, ``n``-word shingles, repeats counted."""
+def shingle_hashes(text: bytes, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Of UTF-8 ``text``: ASCII lower case, words between ASCII white space, XXH64 of each ``n``-word shingle, repeats included."""
     w = text.lower().split()  # bytes: only A-Z change, only ASCII white space parts
     if not w:
-        return 0
-    grams = [b" ".join(w)] if len(w) < n else list(map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False)))
+        return np.empty(0, np.uint64)
+    grams = [b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64, count=len(grams))
+    return np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64, count=max(1, len(w) - n + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 14):  # long texts in blocks
         ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, n, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, fp): the signed 64-bit pattern of each document's fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()

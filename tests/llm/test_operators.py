@@ -169,8 +169,10 @@ def test_simhash_keeps_one_of_each_group(edges):
     assert sorted(r.doc_id for r in kept.collect()) == [6, 12] and kept.columns == edges.columns
 
 
-def test_near_copies_of_the_stage(spark):
-    """Every pair at 0.8 of five-word shingles links, far beyond three bits; a group with more members than pairs are made for at once too."""
+@pytest.mark.parametrize("block", [4096, 5])
+def test_near_copies_of_the_stage(spark, monkeypatch, block):
+    """Every pair at 0.8 of five-word shingles links, far beyond three bits; a group with more members than pairs are made for at once, or than a block holds, too."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     r = random.Random(11)
     texts = []
     for k in range(40):
