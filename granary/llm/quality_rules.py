@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 A rule rejects a document by one measure of its text. Run in any order the rules keep the same documents, so the order is
-free, and the cascade picks the cheapest: on a sample it estimates what each rule costs and what share it rejects, sorts by
-rejection per cost, and evaluates the rules as the branches of one ``CASE``, which stops at the first rule that rejects.
-Everything is a built-in expression; a document is read once and nothing is shuffled.
+free, and the cascade picks the cheapest: on a sample of all partitions each rule is run by itself, which gives its time and the
+share that it rejects; rules are sorted by rejection per cost and evaluated as the branches of one ``CASE``, which stops at the
+first rule that rejects. A measure that no caller asks for is computed in the branches that need it, and only if one is reached.
+Everything is a built-in expression; nothing is shuffled.
 
 Defined results: a null or empty text has no words, so all measures are 0 and the rule ``few_words`` rejects it. A null
 ``doc_id`` is passed through. Repeated rows are judged one by one. An empty table gives an empty result.
@@ -11,18 +12,20 @@ Defined results: a null or empty text has no words, so all measures are 0 and th
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import let, words
+from granary.llm.common import dropped, let, words, written
 
 #: Words in a window of :func:`n_repeat_words`.
 WINDOW = 5
-#: Rows on which cost and selectivity are estimated; the driver gets as many rows of a few numbers.
-SAMPLE_ROWS = 1000
+#: Rows, about, on which cost and selectivity are measured, and runs of each rule, of which the shortest counts.
+SAMPLE_ROWS, RUNS = 1000, 2
 
 
 def n_symbols(text: Column, _: Column) -> Column:
@@ -89,17 +92,19 @@ def n_repeat_words(_: Column, w: Column) -> Column:
     return F.when(F.size(w) > WINDOW, let(let(hashed, windows), count)).otherwise(0).cast("long")
 
 
-#: name -> (expression of text and words, cost per character, cost per word), costs in nanoseconds as measured on one core.
-MEASURES: dict[str, tuple[Callable[[Column, Column], Column], float, float]] = {
-    "n_words": (n_words, 0, 1),
-    "word_chars": (word_chars, 1, 10),
-    "n_symbols": (n_symbols, 4, 0),
-    "n_dup_lines": (n_dup_lines, 5, 0),
-    "n_lines": (n_lines, 5, 0),
-    "n_upper": (n_upper, 6, 0),
-    "n_letters": (n_letters, 6, 0),
-    "n_repeat_words": (n_repeat_words, 0, 800),
+#: name -> expression of text and words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_dup_lines": n_dup_lines,
+    "n_lines": n_lines,
+    "n_upper": n_upper,
+    "n_letters": n_letters,
+    "n_repeat_words": n_repeat_words,
 }
+#: Those that need the words.
+OF_WORDS = ("n_words", "word_chars", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -127,35 +132,53 @@ def with_measures(docs: DataFrame, names: tuple[str, ...], text: str = "text", p
     """``docs`` with these measures as columns ``prefix + name``."""
     body = F.coalesce(F.col(text), F.lit(""))
     held = docs.withColumn("__granary_words", words(F.col(text)))
-    return held.withColumns({prefix + n: MEASURES[n][0](body, F.col("__granary_words")) for n in names}).drop("__granary_words")
+    return held.withColumns({prefix + n: MEASURES[n](body, F.col("__granary_words")) for n in names}).drop("__granary_words")
 
 
 def _test(rule: Rule, of: Callable[[str], Column]) -> Column:
     return F.coalesce(rule.test(*[of(m) for m in rule.measures]), F.lit(False))
 
 
-def order_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """The rules by rejection per cost, each with its cost (ns a document) and rejected share on the first ``rows`` rows.
-
-    ``take`` reads partitions only until it has the rows. Only the order depends on them, never a verdict.
-    """
-    needed = tuple(dict.fromkeys(m for r in rules for m in r.measures))
-    of = lambda n: F.col(f"__granary_{n}")
-    seen = with_measures(docs.select(text), ("n_words", *(n for n in needed if n != "n_words")), text, "__granary_")
-    sample = seen.select(F.coalesce(F.char_length(text), F.lit(0)), of("n_words"), *[_test(r, of).cast("int") for r in rules]).take(rows)
-    if not sample:
-        return [(r, 0.0, 0.0) for r in rules]
-    mean = [sum(x[i] for x in sample) / len(sample) for i in range(len(rules) + 2)]
-    found = [(r, 1 + sum(MEASURES[m][1] * mean[0] + MEASURES[m][2] * mean[1] for m in r.measures), share) for r, share in zip(rules, mean[2:], strict=True)]
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
+def _judged(text: str, rules: tuple[Rule, ...], given: dict[str, str], body: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """``body`` of measures: columns for those given, expressions for the others; words are bound once, wherever the optimizer moves it."""
+    raw = F.coalesce(F.col(text), F.lit(""))
+    of = lambda w: lambda n: F.col(given[n]) if n in given else MEASURES[n](raw, w)
+    if all(m in given or m not in OF_WORDS for r in rules for m in r.measures):
+        return body(of(F.lit(None)))
+    return let(words(F.col(text)), lambda w: body(of(w)))
 
 
-def rejected_by(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "rejected_by", measured: str | None = None) -> DataFrame:
-    """``docs`` with the name of the first rule, in the order found, that rejects the text (null: kept).
+def order_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, given: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """The rules by rejection per cost, each with its cost (seconds for the sample) and rejected share.
 
-    measured: prefix of columns that already hold the measures. Else each branch computes its own, and only if it is reached.
+    given: measures that are there anyway and cost a rule nothing. Only the order depends on the sample and the clock, never a
+    verdict; without rows the order is that of the names.
     """
-    order = [r for r, _, _ in order_of(docs, rules, text)]
+    share = min(1.0, rows / max(1, docs.count()))
+    some = docs.select(F.col(text).alias("__granary_text")).sample(share, 7).coalesce(1)
+    held = written(with_measures(some, given, "__granary_text", "__granary_"))
+    names = {n: f"__granary_{n}" for n in given}
+
+    def run(test: Column) -> tuple[float, int]:
+        best, hits = math.inf, 0
+        for _ in range(RUNS):
+            began = time.monotonic()
+            hits = held.agg(F.count(F.when(test, True))).first()[0]
+            best = min(best, time.monotonic() - began)
+        return best, hits
+
+    nothing, n = run(F.coalesce(F.char_length("__granary_text"), F.lit(0)) >= 0)
+    found = []
+    for r in rules:
+        took, hits = run(_judged("__granary_text", (r,), names, lambda of, r=r: _test(r, of)))
+        found.append((r, max(took - nothing, 1e-4), hits / max(1, n)))
+    dropped(held)
+    return sorted(found, key=lambda x: (-x[2] / x[1], x[1] if n else 0, x[0].name))
+
+
+def rejected_by(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "rejected_by", given: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """``docs``, and the columns ``prefix + name`` of the measures given, with the name of the first rule that rejects the text (null: kept)."""
+    order = [r for r, _, _ in order_of(docs, rules, text, given=given)]
 
     def cascade(of: Callable[[str], Column]) -> Column:
         verdict = F.lit(None).cast("string")
@@ -163,11 +186,8 @@ def rejected_by(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
             verdict = F.when(_test(r, of), F.lit(r.name)).otherwise(verdict)
         return verdict
 
-    if measured is not None:
-        return docs.withColumn(out, cascade(lambda n: F.col(measured + n)))
-    body = F.coalesce(F.col(text), F.lit(""))
-    # the words are bound once for all branches, wherever the optimizer moves the expression
-    return docs.withColumn(out, let(words(F.col(text)), lambda w: cascade(lambda n: MEASURES[n][0](body, w))))
+    held = with_measures(docs, given, text, prefix) if given else docs
+    return held.withColumn(out, _judged(text, rules, {n: prefix + n for n in given}, cascade))
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -177,11 +197,10 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
 def query(docs: DataFrame) -> DataFrame:
     """``op8_quality_rules``: the measures of every document and what the cascade says."""
-    needed = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
-    held = with_measures(docs.select("doc_id", "text"), needed)
-    judged = rejected_by(held, measured="")
+    given = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = rejected_by(docs.select("doc_id", "text"), given=given)
     base = F.coalesce((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), F.lit(False))
-    return judged.select("doc_id", *needed[:5], base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    return judged.select("doc_id", *given, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 ORACLE = r"""

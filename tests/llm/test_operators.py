@@ -95,6 +95,18 @@ def test_quality_rules_order_changes_no_verdict(edges):
     assert kept.columns == edges.columns and kept.count() == measured.filter("kept").count()
 
 
+def test_quality_rules_cost_is_measured(spark):
+    """A dear rule comes after a cheap one that rejects as much; one whose measure is there anyway is cheap."""
+    docs = spark.createDataFrame([(words(400, k) if k % 2 else "a b",) for k in range(300)], "text string")
+    cheap = quality_rules.Rule("z_cheap", ("n_symbols",), lambda s: s >= 0)
+    dear = quality_rules.Rule("a_dear", ("n_repeat_words",), lambda r: r >= 0)
+    assert [r.name for r, _, _ in quality_rules.order_of(docs, (dear, cheap))] == ["z_cheap", "a_dear"]
+    cost = lambda given: next(c for r, c, _ in quality_rules.order_of(docs, (dear, cheap), given=given) if r is dear)
+    assert cost(("n_repeat_words",)) < cost(()) / 2
+    assert [share for _, _, share in quality_rules.order_of(docs)] != [0.0] * len(quality_rules.RULES)
+    assert [r.name for r, _, _ in quality_rules.order_of(docs.limit(0))] == sorted(r.name for r in quality_rules.RULES)
+
+
 # ---- 9: SimHash ----
 
 
