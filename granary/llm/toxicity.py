@@ -2,8 +2,9 @@
 
 Two character models of order six over the UTF-8 bytes of lower-cased text, one learned from toxic and one from ordinary
 labelled documents. Each takes a fixed discount from its own counts and backs off to the same lower-order distribution: shared
-continuation counts (in how many contexts a five-byte string occurs) gathered from all documents, labelled or not. An
-expression that a class has hardly seen gets nearly the same probability from both and says little.
+continuation counts (in how many contexts a string of five bytes occurs, then of four, and so on down to a byte) gathered from
+all documents, labelled or not. An expression that a class has hardly seen gets nearly the same probability from both and says
+little.
 
     log P_toxic(x | context) - log P_ordinary(x | context)
 
@@ -12,10 +13,10 @@ by length twice: over the whole text, and over its most toxic window. A logistic
 fold of labelled documents with class models that leave the fold out; the models that score have it in.
 
 Counting: each task sums distinct grams before the shuffle; a gram is a number of 48 bits, exact. The model that goes to all
-tasks is an array of ``CELLS`` bytes by hash, and where grams of unlike evidence share a cell the grams themselves, sorted: each
-has its own evidence, and the model grows with the grams of contested cells that have any. Labelled
-rows are at most ``MOST_LABELLED``, whose ids and labels are broadcast, so that no text is shuffled; calibration takes
-``MOST_FITTED`` of them.
+tasks holds what labelled text has: its grams, and for each of its contexts the evidence of any other byte, in which the shared
+distribution cancels out. In a context that no label has seen both classes are the shared distribution, and the evidence is 0.
+So the model is exact for every gram of every document, and bounded by the labelled rows, of which there are at most
+``MOST_LABELLED``. Their ids and labels are broadcast, so that no text is shuffled; calibration takes ``MOST_FITTED`` of them.
 
 Defined results: null and empty texts have evidence 0 and get the calibrated prior. A null ``doc_id`` has no label and is not
 held out. Repeated rows are scored one by one. Without labels of both classes the score is the prior.
@@ -28,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.labelled import held_out, logistic, training
@@ -39,19 +40,15 @@ ORDER = 6
 DISCOUNT, SHARED_DISCOUNT = 2.0, 0.75
 #: Bytes of the window whose mean evidence is the greatest of a text.
 WINDOW = 8
-CELL_BITS = 24
-CELLS = 1 << CELL_BITS
-#: In a cell: its grams differ, look them up.
-CONTESTED = -128
-#: Evidence in a cell is a signed byte of so many steps to a nat.
+#: Evidence is held as a signed byte of so many steps to a nat.
 STEPS = 16
-MOST_LABELLED, MOST_FITTED = 200_000, 20_000
+#: Labelled rows that are learned from and that calibrate; nine bytes of the model, twice for empty places, for each of their grams.
+MOST_LABELLED, MOST_FITTED = 100_000, 20_000
 #: The fold of labelled rows that calibrates; the models that it calibrates don't count it.
 CALIBRATION = 4
 _COUNTS = ("n", "toxic", "ordinary", "late_toxic", "late_ordinary")
 _MASK = np.uint64((1 << (8 * ORDER)) - 1)
-#: Odd multipliers of a gram's halves; a cell is the top bits of the low 36 of the sum.
-_MIX_HIGH, _MIX_LOW = 0x9E3779B97, 0x85EBCA6B7
+_EMPTY = np.uint64((1 << 64) - 1)
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -61,17 +58,51 @@ def grams(text: bytes) -> np.ndarray:
     return np.ndarray((n,), "<u8", held, 0, (1,)) & _MASK if n > 0 else np.empty(0, np.uint64)
 
 
-class Model(NamedTuple):
-    """Steps by cell; grams of contested cells that have evidence, sorted as signed numbers, and their steps."""
+class Table(NamedTuple):
+    """Numbers of 48 bits with a signed byte each, in an open-addressed table at most half full: number << 8 | byte + 128."""
+
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, steps: np.ndarray) -> Table:
+        places = np.full(1 << max(4, (2 * len(keys)).bit_length()), _EMPTY)
+        held = cls(places)
+        rest = keys.astype(np.uint64) << np.uint64(8) | (steps.astype(np.int64) + 128).astype(np.uint64)
+        at = held._first(keys.astype(np.uint64))
+        while len(rest):
+            free = places[at] == _EMPTY
+            places[at[free]] = rest[free]
+            out = places[at] != rest
+            rest, at = rest[out], (at[out] + 1) % len(places)
+        return held
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.places).bit_length() - 1
+        return ((keys ^ keys >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, whether found) of numbers."""
+        at = self._first(keys)
+        got = self.places[at]
+        hit = got >> np.uint64(8) == keys
+        open_ = np.flatnonzero(~hit & (got != _EMPTY))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) % len(self.places)
+            more = self.places[at]
+            got[open_] = more
+            found = more >> np.uint64(8) == keys[open_]
+            hit[open_[found]] = True
+            on = ~found & (more != _EMPTY)
+            open_, at = open_[on], at[on]
+        return (got & np.uint64(255)).astype(np.int16) - 128, hit
 
-    cells: np.ndarray
-    grams: np.ndarray
-    steps: np.ndarray
 
+class Model(NamedTuple):
+    """Steps of grams, and of contexts for the bytes whose grams aren't there."""
 
-def cells(g: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
-    mixed = (g >> np.uint64(24)) * np.uint64(_MIX_HIGH) + (g & np.uint64((1 << 24) - 1)) * np.uint64(_MIX_LOW)
-    return ((mixed & np.uint64((1 << 36) - 1)) >> np.uint64(36 - bits)).astype(np.int64)
+    grams: Table
+    contexts: Table
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,52 +158,66 @@ def gram_counts(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text:
     return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def evidence(counts: DataFrame, discount: float = DISCOUNT, shared_discount: float = SHARED_DISCOUNT) -> DataFrame:
-    """(gram, n, llr): interpolated Kneser-Ney log ratio of the last byte of each gram after the first five."""
+def backoff(counts: DataFrame, discount: float = SHARED_DISCOUNT) -> DataFrame:
+    """(suffix, backoff): shared probability of the last of five bytes after the four before it, by recursive continuation counts."""
+    levels = [counts.groupBy(F.shiftright("gram", 8).alias("s")).agg(F.count("*").alias("cont"))]
+    for _ in range(ORDER - 2):
+        levels.append(levels[-1].groupBy(F.shiftright("s", 8).alias("s")).agg(F.count("*").alias("cont")))
+    lower = None
+    for size, level in zip(range(1, ORDER), reversed(levels), strict=True):
+        held = level.withColumn("before", F.col("s").bitwiseAND(F.lit((1 << (8 * (size - 1))) - 1)))
+        total = held.groupBy("before").agg(F.sum("cont").alias("total"), F.count("*").alias("kinds"))
+        held = held.join(total, "before").withColumn("shorter", F.shiftright("s", 8))
+        below = F.lit(1 / 256) if lower is None else F.col("p")
+        if lower is not None:
+            held = held.join(lower.select(F.col("s").alias("shorter"), "p"), "shorter")
+        lower = held.select("s", ((F.greatest(F.col("cont") - discount, F.lit(0.0)) + discount * F.col("kinds") * below) / F.col("total")).alias("p"))
+    return lower.select(F.col("s").alias("suffix"), F.col("p").alias("backoff"))
+
+
+def evidence(counts: DataFrame, shared: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """(gram, llr, other) of the grams of labelled text, and (context, other) of its contexts; shared: :func:`backoff`.
+
+    llr: interpolated Kneser-Ney log ratio of a gram's last byte after its first five; other: that of any byte that neither class
+    has seen in the context.
+    """
     low = (1 << (8 * (ORDER - 1))) - 1
-    c = counts.withColumns({"context": F.col("gram").bitwiseAND(F.lit(low)), "suffix": F.shiftright("gram", 8)})
-    shared = c.groupBy("suffix").agg(F.count("*").alias("cont")).withColumn("below", F.col("suffix").bitwiseAND(F.lit(low >> 8)))
-    below = shared.groupBy("below").agg(F.sum("cont").alias("below_n"), F.count("*").alias("below_kinds"))
-    backoff = shared.join(below, "below").select("suffix", ((F.greatest(F.col("cont") - shared_discount, F.lit(0.0)) + shared_discount * F.col("below_kinds") / 256) / F.col("below_n")).alias("backoff"))
+    seen = counts.filter((F.col("toxic") > 0) | (F.col("ordinary") > 0)).withColumns({"context": F.col("gram").bitwiseAND(F.lit(low)), "suffix": F.shiftright("gram", 8)})
     taken = lambda k: F.sum(F.least(F.col(k), F.lit(discount))).alias(f"{k}_taken")
-    own = c.groupBy("context").agg(F.sum("toxic").alias("toxic_n"), F.sum("ordinary").alias("ordinary_n"), taken("toxic"), taken("ordinary"))
-    joined = c.join(own, "context").join(backoff, "suffix")
+    own = seen.groupBy("context").agg(F.sum("toxic").alias("toxic_n"), F.sum("ordinary").alias("ordinary_n"), taken("toxic"), taken("ordinary"))
+
+    def left(k: str):
+        """What a class leaves to the shared distribution."""
+        return F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_taken") / F.col(f"{k}_n")).otherwise(F.lit(1.0))
+
+    contexts = own.withColumn("other", F.log(left("toxic")) - F.log(left("ordinary")))
+    joined = seen.join(contexts, "context").join(shared, "suffix")
 
     def p(k: str):
         n = F.col(f"{k}_n")
         return F.when(n > 0, (F.greatest(F.col(k) - discount, F.lit(0.0)) + F.col(f"{k}_taken") * F.col("backoff")) / n).otherwise(F.col("backoff"))
 
-    return joined.select("gram", "n", (F.log(p("toxic")) - F.log(p("ordinary"))).alias("llr"))
-
-
-def model(counts: DataFrame, bits: int = CELL_BITS) -> Model:
-    """The evidence of each gram; what comes to the driver is a row for each cell with evidence and the grams with evidence of contested ones."""
-    low = (1 << 24) - 1  # products stay below 2^60, so nothing overflows
-    high, rest = F.shiftright("gram", 24), F.col("gram").bitwiseAND(F.lit(low))
-    cell = (high * _MIX_HIGH + rest * _MIX_LOW).bitwiseAND(F.lit((1 << 36) - 1))
-    cell = F.shiftright(cell, 36 - bits)
-    step = F.round(F.greatest(F.least(F.col("llr") * STEPS, F.lit(127.0)), F.lit(-127.0))).cast("tinyint")
-    held = evidence(counts).select("gram", cell.cast("int").alias("cell"), step.alias("step"))
-    some = F.collect_list(F.when(F.col("step") != 0, F.struct("gram", "step")))
-    by_cell = held.groupBy("cell").agg(F.min("step").alias("least"), F.max("step").alias("most"), some.alias("some")).filter("least <> 0 OR most <> 0")
-    one = F.array(F.struct(F.lit(None).cast("long").alias("gram"), F.col("least").alias("step")))
-    found = by_cell.select("cell", F.explode(F.when(F.col("least") == F.col("most"), one).otherwise(F.col("some"))).alias("x")).select("cell", "x.gram", "x.step").toArrow()
-    own = found.column("gram").is_valid().to_numpy()
-    cell_of, steps = found.column("cell").to_numpy(), found.column("step").to_numpy()
-    table = np.zeros(1 << bits, dtype=np.int8)
-    table[cell_of] = np.where(own, CONTESTED, steps)
-    g = found.column("gram").fill_null(0).to_numpy()[own]
-    order = np.argsort(g)
-    return Model(table, g[order], steps[own][order].astype(np.int8))
+    return joined.select("gram", (F.log(p("toxic")) - F.log(p("ordinary"))).alias("llr"), "other"), contexts.select("context", "other")
+
+
+def _steps(llr: Column) -> Column:
+    return F.round(F.greatest(F.least(llr * STEPS, F.lit(127.0)), F.lit(-127.0))).cast("tinyint")
+
+
+def model(counts: DataFrame, shared: DataFrame) -> Model:
+    """The evidence of each gram; what comes to the driver is bounded by the labelled rows' grams."""
+    grams_, contexts = evidence(counts, shared)
+    own = grams_.select("gram", _steps(F.col("llr")).alias("step"), _steps(F.col("other")).alias("other")).filter("step <> other").select("gram", "step")
+    rest = contexts.select("context", _steps(F.col("other")).alias("step")).filter("step <> 0")
+    return Model(*(Table.of(t.column(0).to_numpy(), t.column(1).to_numpy()) for t in (own.toArrow(), rest.toArrow())))
 
 
 def steps_of(g: np.ndarray, held: Model) -> np.ndarray:
-    out = held.cells[cells(g, len(held.cells).bit_length() - 1)]
-    at = np.flatnonzero(out == CONTESTED)
-    if len(at):
-        look = g[at].view(np.int64)
-        i = np.minimum(np.searchsorted(held.grams, look), len(held.grams) - 1)
-        out[at] = np.where(held.grams[i] == look, held.steps[i], 0)
+    """Steps of grams of a text."""
+    out, hit = held.grams.find(g)
+    at = np.flatnonzero(~hit)
+    steps, known = held.contexts.find(g[at] & np.uint64((1 << (8 * (ORDER - 1))) - 1))
+    out[at] = np.where(known, steps, 0)
     return out
 
 
@@ -208,7 +253,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = written(training(labels, label, MOST_LABELLED, id_col))
     fitted = known.filter(F.col("fold") == CALIBRATION)
     counts = written(gram_counts(docs, known.select("id", "y", (F.col("fold") == CALIBRATION).alias("late")), id_col, text))
-    early = spark.sparkContext.broadcast(model(counts))
+    shared = written(backoff(counts))
+    early = spark.sparkContext.broadcast(model(counts, shared))
     n = fitted.count()
     if n > MOST_FITTED:
         fitted = fitted.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(0.97 * MOST_FITTED / n * (1 << 20)))
@@ -218,7 +264,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     x = np.column_stack([rows.column("peak").to_numpy(), rows.column("mean").to_numpy()]).reshape(-1, 2)
     w, mean, scale = logistic(x, rows.column("y").to_numpy().astype(float))
     full = counts.withColumns({"toxic": F.col("toxic") + F.col("late_toxic"), "ordinary": F.col("ordinary") + F.col("late_ordinary")})
-    table = spark.sparkContext.broadcast(model(full))
+    table = spark.sparkContext.broadcast(model(full, shared))
     z = F.lit(float(w[2])) + F.lit(float(w[0] / scale[0])) * (F.col("peak") - float(mean[0])) + F.lit(float(w[1] / scale[1])) * (F.col("mean") - float(mean[1]))
     return measured(docs, table, id_col, text).withColumn("score", 1 / (1 + F.exp(-z)))
 

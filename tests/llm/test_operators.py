@@ -500,18 +500,38 @@ def test_toxicity_held_out(spark):
     assert auc(np.array([s for s, _ in held]), np.array([t for _, t in held])) > 0.97
 
 
-def test_toxicity_keeps_evidence_where_grams_share_cells(spark):
-    """More grams than cells: each has the evidence that it has alone, a rare one beside frequent ones too."""
-    docs = spark.createDataFrame([(i, words(60, i) + " idiotism" * (i % 4 == 0)) for i in range(80)] + [(100 + i, words(400, 7)) for i in range(20)], "doc_id long, text string")
-    known = spark.createDataFrame([(i, int(i % 4 == 0), False) for i in range(60)], "id long, y int, late boolean")
+def test_toxicity_evidence_is_that_of_a_plain_model(spark):
+    texts = [(words(6, i).encode() + (b" bad idiot" if i % 3 == 0 else b" good"), i % 3 == 0 if i < 14 else None) for i in range(20)] + [(b"", None), ("Été".encode(), None)]
+    six, llr = brute.kneser_ney([(t, None if y is None else int(y)) for t, y in texts])
+    docs = spark.createDataFrame([(i, t.decode()) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(y), False) for i, (_, y) in enumerate(texts) if y is not None], "id long, y int, late boolean")
     counts = toxicity.gram_counts(docs, known).cache()
-    want = {r.gram: round(max(-127.0, min(127.0, r.llr * toxicity.STEPS))) for r in toxicity.evidence(counts).collect()}
-    g = np.array(list(want), np.int64).view(np.uint64)
-    assert len(g) > 1 << 8
-    for bits in (8, toxicity.CELL_BITS):
-        got = toxicity.steps_of(g, toxicity.model(counts, bits))
-        assert max(abs(int(x) - y) for x, y in zip(got, want.values(), strict=True)) <= 1  # halves may round either way
-    assert len({abs(x) for x in want.values()}) > 3
+    shared = toxicity.backoff(counts).cache()
+    own, rest = toxicity.evidence(counts, shared)
+    grams = {r.gram: r.llr for r in own.collect()}
+    contexts = {r.context: r.other for r in rest.collect()}
+    found = []
+    for s in six:
+        g = int.from_bytes(s, "little")
+        want = llr(s)
+        got = grams.get(g, contexts.get(g & ((1 << 40) - 1), 0.0))
+        assert math.isclose(got, want, abs_tol=1e-9)
+        found.append((g, want))
+    g = np.array([x for x, _ in found], np.uint64)
+    steps = toxicity.steps_of(g, toxicity.model(counts, shared))
+    assert max(abs(int(x) - max(-127.0, min(127.0, w * toxicity.STEPS))) for x, (_, w) in zip(steps, found, strict=True)) <= 0.5 + 1e-6
+    assert len(grams) < len(six) and any(abs(w) > 0.4 for _, w in found) and any(w == 0 for _, w in found)
+
+
+def test_toxicity_table_finds_what_it_holds():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    steps = r.integers(-127, 128, len(keys)).astype(np.int8)
+    table = toxicity.Table.of(keys, steps)
+    got, hit = table.find(keys)
+    assert hit.all() and (got == steps).all()
+    others = np.setdiff1d(r.integers(0, 1 << 48, 5000, dtype=np.uint64), keys)
+    assert not table.find(others)[1].any() and not toxicity.Table.of(keys[:0], steps[:0]).find(keys)[1].any()
 
 
 def test_learned_scores_on_edges(spark, edges, nothing, labels):
