@@ -155,7 +155,7 @@ def order_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     verdict; without rows the order is that of the names.
     """
     share = min(1.0, rows / max(1, docs.count()))
-    some = docs.select(F.col(text).alias("__granary_text")).sample(share, 7).coalesce(1)
+    some = docs.select(F.col(text).alias("__granary_text")).sample(share, 7).repartition(1)  # read by all tasks; about ``rows`` rows meet
     held = written(with_measures(some, given, "__granary_text", "__granary_"))
     names = {n: f"__granary_{n}" for n in given}
 
