@@ -122,9 +122,9 @@ def _marked(docs: DataFrame, carry: tuple[str, ...], text: str) -> DataFrame:
     sure = written(patterns(tokens).select("pattern"))
     span = lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("k"), t["end"].alias("end"))
     if sure.count() <= MOST_HELD:
-        # one row of at most MOST_HELD patterns of at most REACH characters goes to all tasks
-        held = sure.agg(F.collect_list("pattern").alias("__sure")).withColumn("__one", F.lit(1))
-        joined = seen.withColumn("__one", F.lit(1)).join(F.broadcast(held), "__one")
+        # at most MOST_HELD patterns of at most REACH characters
+        known = F.array(*[F.lit(r.pattern) for r in sure.collect()]).cast("array<string>")
+        joined = seen.withColumn("__sure", known)
         new = F.transform(F.filter("tokens", lambda t: ~t["seed"] & F.array_contains("__sure", t["pattern"])), span)
     else:
         found_ = tokens.filter(~F.col("seed")).join(sure, "pattern", "left_semi")
