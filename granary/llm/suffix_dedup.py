@@ -24,8 +24,8 @@ tasks in more than ``HOT_TOTAL``, is not gathered: its strings are sorted by has
 over all partitions and again settled first where they repeat within a task; of such a trigger a task sends one row under its
 key. All strings are compared in either way.
 
-Texts are numbered and written once, compressed; every later step reads that table, so a row's number doesn't depend on how
-files are split. They cross a shuffle twice, keyed by number.
+Texts are numbered and written once; every later step reads that table, so a row's number doesn't depend on how files are split.
+They cross a shuffle twice, compressed, keyed by number.
 
 Defined results: a null text counts as empty: 0 bytes, none removed. Texts under ``LENGTH`` bytes are kept whole. Repeated rows
 are documents of their own, and so copies of each other. A null ``doc_id`` is passed through. An empty table gives no rows.
@@ -157,7 +157,7 @@ def _covered_rows(uid: np.ndarray, start: np.ndarray, count: np.ndarray) -> tupl
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of (uid, packed text), settled where the task itself can settle them."""
+    """Phrases of (uid, text), settled where the task itself can settle them."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     names = ["key", "context", "uid", "start", "count", "offset", "kind", "hot"]
@@ -195,9 +195,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*pick(m), PENDING, False)
 
     for b in batches:
-        for u, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if z.is_valid:
-                for found in phrases(unpacked(z.as_py())):
+        for u, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+            if t.is_valid:
+                for found in phrases(t.as_py()):
                     held.append((*found, np.full(len(found[0]), u, np.int64)))
                     size += len(found[0])
                     if size >= HELD:
@@ -357,22 +357,26 @@ def unpacked(z: bytes) -> bytes:
 
 
 def numbered(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """``carry``, a number (``uid``) and the compressed text (``z``) of each row, written."""
-    kept = docs.select(*carry, F.monotonically_increasing_id().alias("uid"), F.col(text).alias("__text"))
+    """``carry``, a number (``uid``) and the text of each row, written."""
+    return written(docs.select(*carry, F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text")))
+
+
+def compressed(texts: DataFrame) -> DataFrame:
+    """The table with ``z`` in the place of its last column, the text, as it crosses a shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = pa.array([packed(t.as_py()) if t.is_valid else None for t in b.column(b.num_columns - 1).cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], names=[*b.schema.names[:-1], "z"])
 
-    return written(kept.mapInArrow(pack, T.StructType(kept.schema.fields[:-1]).add("z", T.BinaryType())), "none")
+    return texts.mapInArrow(pack, T.StructType(texts.schema.fields[:-1]).add("z", T.BinaryType()))
 
 
 def covered(texts: DataFrame) -> DataFrame:
     """(uid, runs): array<struct<start, count>> of starts of repeated strings, by row of a table of :func:`numbered`."""
-    found = written(settled(texts.select("uid", "z")))
+    found = written(settled(texts.select("uid", "text")))
     asked = found.filter("compare > 0").groupBy("uid").agg(F.collect_list(F.struct("start", "count", "offset", "compare", "hot")).alias("asked"))
-    opened = texts.select("uid", "z").join(asked.hint("shuffle_hash"), "uid").select("uid", "z", "asked").mapInArrow(_opened, _COMPARED)
+    opened = compressed(texts.select("uid", "text")).join(asked.hint("shuffle_hash"), "uid").select("uid", "z", "asked").mapInArrow(_opened, _COMPARED)
     more = opened.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_compared, "uid bigint, start int, count int")
     runs = found.filter("covered").select("uid", "start", "count").unionAll(more)
     return runs.groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
@@ -384,7 +388,7 @@ def deduplicated(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: st
     names = [f"__c{i}" for i in range(len(carry))]
     safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("text"))
     texts = numbered(safe, names, "text")
-    joined = texts.join(covered(texts).hint("shuffle_hash"), "uid", "left").select(*names, "z", "runs")
+    joined = compressed(texts).join(covered(texts).hint("shuffle_hash"), "uid", "left").select(*names, "z", "runs")
     schema = T.StructType(joined.schema.fields[:-2])
     for c in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(c, T.LongType())
