@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from granary.llm import decontaminate, packing, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup, toxicity, url_filter
 from granary.llm.common import table
 
@@ -62,7 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_simhash": op9,
     "op10_suffix_dedup": op10,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
