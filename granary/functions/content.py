@@ -6,10 +6,11 @@ Plain functions on bytes and arrays come first; ``*_udf`` and ``*_map`` wrap the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def from_planes(planes: np.ndarray, dtype: np.dtype) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _crc32c_table() -> list[int]:
+def crc32c_table() -> list[int]:
     out = []
     for i in range(256):
         c = i
@@ -262,39 +263,97 @@ def _crc32c_table() -> list[int]:
     return out
 
 
-def crc32c(data: bytes, crc: int = 0) -> int:
-    t, c = _crc32c_table(), crc ^ 0xFFFFFFFF
+#: Rows with which a byte of each is taken at once; fewer go on one by one.
+TOGETHER = 24
+
+
+def folded_bytes(rows: list[bytes], start: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray], alone: Callable[[int, bytes], int], dtype: type = np.uint64) -> np.ndarray:
+    """A running value of each row: ``step`` takes the values so far and a byte of each row, so all rows go ahead together.
+
+    ``alone`` takes the value and what is left of the last few, longest rows.
+    """
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    order = np.argsort(-size, kind="stable")
+    flat = np.frombuffer(b"".join(rows), np.uint8)
+    begin = (np.cumsum(size) - size)[order]
+    value = np.full(len(rows), start, dtype)
+    # rows that have a byte at a place are the first ones of the order
+    more = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    for at, n in enumerate(more.tolist()):
+        if n < TOGETHER:
+            for i in range(n):
+                value[i] = alone(int(value[i]), rows[order[i]][at:])
+            break
+        value[:n] = step(value[:n], flat[begin[:n] + at])
+    out = np.empty_like(value)
+    out[order] = value
+    return out
+
+
+def _crc32c_on(c: int, data: bytes) -> int:
+    t = crc32c_table()
     for b in data:
         c = c >> 8 ^ t[(c ^ b) & 255]
-    return c ^ 0xFFFFFFFF
+    return c
+
+
+def crc32c_all(rows: list[bytes]) -> np.ndarray:
+    t = np.array(crc32c_table(), np.uint32)
+    return folded_bytes(rows, 0xFFFFFFFF, lambda c, b: c >> np.uint32(8) ^ t[(c ^ b) & np.uint32(255)], _crc32c_on, np.uint32) ^ np.uint32(0xFFFFFFFF)
+
+
+def crc32c(data: bytes) -> int:
+    return int(crc32c_all([data])[0])
 
 
 #: Offset bases: of FNV-1a, and of the anchor hash, which is the same but for it. Fixed values.
 FNV_BASIS, ANCHOR_BASIS = 14695981039346656037, 1469598103934665603
 
 
-def fnv1a(data: bytes, basis: int = FNV_BASIS) -> int:
-    h = basis
+#: Fixed value.
+FNV_PRIME = 1099511628211
+
+
+def _fnv1a_on(h: int, data: bytes) -> int:
     for b in data:
-        h = (h ^ b) * 1099511628211 & (1 << 64) - 1
+        h = (h ^ b) * FNV_PRIME & (1 << 64) - 1
     return h
 
 
-def record_cuts(records: list[tuple[bytes, int]], target: int, most: int) -> list[int]:
-    """Indexes of records (key, value length) that close a group: at ``most`` bytes or by a hash of the key with probability size / target."""
-    out, held = [], 0
-    top = (1 << 64) - 1
-    for i, (key, n) in enumerate(records):
-        size = len(key) + n + 4
-        held += size
-        h = fnv1a(key)
-        h ^= h >> 29
-        h = h * 0xBF58476D1CE4E5B9 & top
-        h ^= h >> 32
-        if held >= most or size >= target or h < size * (top // target):
-            out.append(i)
-            held = 0
-    return out
+def fnv1a_all(rows: list[bytes], basis: int = FNV_BASIS) -> np.ndarray:
+    return folded_bytes(rows, basis, lambda h, b: (h ^ b) * np.uint64(FNV_PRIME), _fnv1a_on)
+
+
+def fnv1a(data: bytes, basis: int = FNV_BASIS) -> int:
+    return int(fnv1a_all([data], basis)[0])
+
+
+def record_cuts(keys: list[bytes], sizes: np.ndarray, target: int, most: int) -> np.ndarray:
+    """Indexes of records that close a group: by a hash of the key with probability size / target, or at ``most`` bytes since the last.
+
+    A record's size is that of key and value and four bytes. Hash cuts are found for all records at once; the running size then
+    only says where a group between two of them is too long.
+    """
+    size = np.fromiter(map(len, keys), np.uint64, len(keys)) + np.asarray(sizes, np.uint64) + np.uint64(4)
+    h = fnv1a_all(keys)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    share = np.uint64(((1 << 64) - 1) // target)
+    by_hash = (size >= target) | (h < np.where(size < target, size, np.uint64(0)) * share)
+    upto = np.cumsum(size).astype(np.int64)
+    out: list[int] = []
+    start = 0
+    for end in [*np.flatnonzero(by_hash).tolist(), len(keys)]:
+        while True:
+            full = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most))
+            if full >= end:
+                break
+            out.append(full)
+            start = full + 1
+        if end < len(keys):
+            out.append(end)
+        start = end + 1
+    return np.array(out, np.int64)
 
 
 def varint(n: int) -> bytes:
@@ -341,11 +400,35 @@ def ordered_key(x: np.ndarray) -> np.ndarray:
     return np.where(u >> 31, ~u, u | np.uint32(0x80000000))
 
 
+def _bytes_of(x: pd.Series) -> list[bytes]:
+    return [b"" if b is None else b.encode() if isinstance(b, str) else bytes(b) for b in x]
+
+
 @F.pandas_udf(T.LongType())
-def crc32c_udf(x):
-    return x.map(lambda b: None if b is None else crc32c(bytes(b) if not isinstance(b, str) else b.encode()))
+def crc32c_udf(x: pd.Series) -> pd.Series:
+    return pd.Series(crc32c_all(_bytes_of(x)).astype(np.int64)).where(x.notna(), None).astype("Int64")
 
 
 @F.pandas_udf(T.LongType())
-def fnv1a_udf(x):
-    return x.map(lambda b: None if b is None else int(np.uint64(fnv1a(bytes(b) if not isinstance(b, str) else b.encode())).view(np.int64)))
+def fnv1a_udf(x: pd.Series) -> pd.Series:
+    return pd.Series(fnv1a_all(_bytes_of(x)).view(np.int64)).where(x.notna(), None).astype("Int64")
+
+
+@F.pandas_udf(T.StringType())
+def sha3_256(x: pd.Series) -> pd.Series:
+    """Lower-case hex of SHA3-256; of text its UTF-8."""
+    return x.map(lambda b: None if b is None else hashlib.sha3_256(b.encode() if isinstance(b, str) else bytes(b)).hexdigest())
+
+
+def half_value(bits: Column) -> Column:
+    """The double that 16 bits of IEEE half precision stand for."""
+    sign = F.when(bits.bitwiseAND(F.lit(0x8000)) != 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exponent, fraction = F.shiftright(bits.bitwiseAND(F.lit(0x7C00)), 10), bits.bitwiseAND(F.lit(0x3FF))
+    special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    normal = sign * (1 + fraction / 1024) * F.pow(F.lit(2.0), exponent - 15)
+    return F.when(exponent == 31, special).when(exponent == 0, sign * fraction * 2.0**-24).otherwise(normal)
+
+
+def half_bits(x: np.ndarray) -> np.ndarray:
+    """Bits of half precision, rounded to nearest, ties to even."""
+    return np.ascontiguousarray(x, np.float64).astype(np.float16).view(np.uint16)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import content
+from granary.operators import graph
 from granary.operators.storage import cut
 
 
@@ -35,8 +36,12 @@ def gather(values: Column, index: Column) -> Column:
 
 def scatter(values: Column, valid: Column) -> Column:
     """Values spread to where ``valid`` is true, null elsewhere; the running count of valid places says which."""
-    before = lambda i: F.size(F.filter(F.slice(valid, F.lit(1), i), lambda v: v))
-    return F.transform(valid, lambda v, i: F.when(v, F.get(values, before(i))))
+    # places of valid ones in order: the k-th takes the k-th value, so one sort by place puts all in order again
+    places = F.filter(F.transform(valid, lambda v, i: F.when(v, i)), lambda i: i.isNotNull())
+    put = F.zip_with(places, F.slice(values, F.lit(1), F.size(places)), lambda i, v: F.struct(i.alias("i"), v.alias("v")))
+    none = F.filter(F.transform(valid, lambda v, i: F.struct(i.alias("i"), F.when(F.lit(False), F.get(values, F.lit(0))).alias("v"), F.coalesce(v, F.lit(False)).alias("x"))), lambda s: ~s["x"])
+    rest = F.transform(none, lambda s: F.struct(s["i"].alias("i"), s["v"].alias("v")))
+    return F.transform(F.sort_array(F.concat(put, rest)), lambda s: s["v"])
 
 
 def offsets_of(lengths: Column) -> Column:
@@ -131,12 +136,11 @@ def best_base(pairs: DataFrame, id_col: str) -> DataFrame:
 
 
 def chain_bases(chosen: DataFrame, id_col: str, most: int = 8) -> DataFrame:
-    """(id, depth): delta chain lengths of (id, base); over ``most`` is an error of the plan."""
-    depth = cut(chosen.select(F.col(id_col).alias("id"), F.col("base").alias("up"), F.when(F.col("base").isNull(), 0).otherwise(1).alias("depth")))
-    for _ in range(most):
-        up = depth.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        depth = cut(depth.join(up, "up", "left").select("id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-    return depth.select("id", "depth")
+    """(id, depth): delta chain lengths of (id, base); a chain over ``most``, or one without an end, is an error of the plan and fails."""
+    found = graph.chain_depths(chosen.select(F.col(id_col).alias("node"), F.col("base").alias("parent")))
+    bad = F.col("cyclic") | (F.col("depth") > most)
+    depth = F.when(bad, F.raise_error(F.concat(F.lit("delta chain too long or cyclic at "), F.col("node").cast("string"))).cast("int")).otherwise(F.col("depth"))
+    return found.select(F.col("node").alias("id"), depth.alias("depth"))
 
 
 def union_totals(needed: DataFrame, stored: DataFrame, record: int = 36) -> DataFrame:

@@ -9,8 +9,12 @@ from granary.operators.storage import cut
 
 
 def merkle_levels(leaves: DataFrame, fanout: int = 16) -> list[DataFrame]:
-    """Levels (slot, hash) from leaves (slot, hash) to one root: a node hashes its children's hashes in slot order."""
-    levels = [leaves.select("slot", "hash")]
+    """Levels (slot, hash) from leaves (slot, hash) to one root: a node hashes its children's hashes in slot order.
+
+    Slots count from 0; a null or negative one is an error, as it has no place in the tree. No leaves have one empty level.
+    """
+    place = F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.raise_error(F.lit("slots of a Merkle tree are numbers from 0")).cast(leaves.schema["slot"].dataType))
+    levels = [leaves.select(place.alias("slot"), "hash")]
     while levels[-1].limit(2).count() > 1:
         up = levels[-1].groupBy(F.floor(F.col("slot") / fanout).alias("slot"))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hash"))), lambda x: x["hash"]), "")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ HINTED, UNHINTED, REUSE, PLAIN_OVERLAP = 0.65, 0.25, 0.50, 0.10
 LOOKAHEAD = {"one-step": (1, 64), "beam": (2, 8)}
 OBJECT_OVERHEAD = 96
 PLAIN = "plain"
+#: States of a stage that the exact plan holds at most.
+MOST_STATES = 100_000
 
 
 def _overlap(a: list, b: list) -> float:
@@ -22,28 +25,86 @@ def _overlap(a: list, b: list) -> float:
     return sum(x in held for x in b) / len(b) if held and b else 0.0
 
 
+class View(NamedTuple):
+    """What a policy sees at a stage: costs of its candidates, the plain one's place, samples of each scheme's last copy."""
+
+    at: int
+    hinted: bool
+    stage: list
+    cost: list[int]
+    plain: int
+    samples: dict[str, list]
+
+    def cheap(self, i: int) -> tuple:
+        return self.cost[i], i != self.plain, i
+
+    def alike(self, i: int, default: float = 0.0) -> float:
+        name, _, sample = self.stage[i]
+        return _overlap(self.samples[name], sample) if self.samples.get(name) else default
+
+    def to_come(self, i: int) -> float:
+        """Bytes of the next copy in this scheme, as far as it isn't like the last."""
+        return sum(n + OBJECT_OVERHEAD for n in self.stage[i][1].values()) * (1 - self.alike(i, PLAIN_OVERLAP if i == self.plain else REUSE))
+
+
+def _greedy(v: View, i: int) -> tuple:
+    return (1, *v.cheap(i))
+
+
+def _premium(v: View, i: int) -> tuple:
+    return (0, v.cost[i], i) if i != v.plain and v.cost[i] <= PREMIUM * v.cost[v.plain] else _greedy(v, i)
+
+
+def _late(v: View, i: int) -> tuple:
+    taken = v.at and i != v.plain and v.alike(i) >= LATE_OVERLAP and v.cost[i] <= LATE_PREMIUM * v.cost[v.plain]
+    return (0, i) if taken else _greedy(v, i)
+
+
+def _expected(v: View, i: int) -> tuple:
+    again = HINTED if v.at and v.hinted else UNHINTED
+    return v.cost[i] + again * (v.to_come(i) - v.to_come(v.plain)), i != v.plain, i
+
+
+#: Policy -> score of a candidate at a stage; the least is admitted.
+SCORES: dict[str, Callable[[View, int], tuple]] = {"greedy": _greedy, "premium-cap": _premium, "late-bootstrap": _late, "expected-value": _expected}
+
+
 class Case:
     """Stages of one lineage: each a list of candidates (name, {object: size}, sample)."""
 
     def __init__(self, stages: list[list[tuple[str, dict, list]]], hinted: bool):
         self.stages, self.hinted = stages, hinted
+        self.plain = [next(i for i, c in enumerate(stage) if c[0] == PLAIN) for stage in stages]
+        #: Objects that a stage or a later one may still use.
+        self.used = [frozenset()]
+        for stage in reversed(stages):
+            self.used.insert(0, self.used[0].union(*(c[1] for c in stage)))
 
     @staticmethod
-    def cost(candidate: tuple[str, dict, list], have: set) -> int:
+    def cost(candidate: tuple[str, dict, list], have: frozenset) -> int:
         return sum(n + OBJECT_OVERHEAD for o, n in candidate[1].items() if o not in have)
 
-    def cheapest(self, stage: list, have: set) -> int:
-        plain = next(i for i, c in enumerate(stage) if c[0] == PLAIN)
-        return min(range(len(stage)), key=lambda i: (self.cost(stage[i], have), i != plain, i))
-
-    def ahead(self, at: int, depth: int, width: int, have: set) -> int:
-        states = [(0, -1, frozenset(have))]
-        for stage in self.stages[at : at + depth + 1]:
-            grown = [(cost + self.cost(c, held), i if first < 0 else first, held | c[1].keys()) for cost, first, held in states for i, c in enumerate(stage)]
-            states = sorted(grown, key=lambda s: s[0])[:width]
-        return states[0][1]
+    def forward(self, at: int, upto: int, have: frozenset, width: int | None = None, most: float = math.inf) -> list[tuple[int, tuple[int, ...]]]:
+        """(cost, choices) of the plans over stages at .. upto, the cheapest first.
+
+        Without a width, plans meet in a state, the objects admitted that later stages may use, and of those that meet the
+        cheapest goes on, unless it can't end at ``most``. With one, the cheapest so many plans go on, earlier ones first.
+        """
+        states = [(have & self.used[at], 0, ())]
+        for k in range(at, upto):
+            grown: dict[tuple, tuple[frozenset, int, tuple[int, ...]]] = {}
+            for held, spent, path in states:
+                for i, c in enumerate(self.stages[k]):
+                    then, now, chosen = held.union(c[1]) & self.used[k + 1], spent + self.cost(c, held), (*path, i)
+                    key = chosen if width else (then,)
+                    if (key not in grown or (now, chosen) < grown[key][1:]) and (most == math.inf or now + self.least_left(k + 1, then) <= most + 1e-6):
+                        grown[key] = (then, now, chosen)
+            if not width and len(grown) > MOST_STATES:
+                raise ValueError("more states than the exact plan allows")
+            states = sorted(grown.values(), key=lambda x: x[1])[:width]
+        return [(cost, path) for _, cost, path in states]
 
-    def least_left(self, at: int, held: set) -> float:
+    def least_left(self, at: int, held: frozenset) -> float:
         """No plan from a stage on costs less: an object's cost is shared out over all stages that may still use it."""
         size: dict = {}
         uses: dict = {}
@@ -53,67 +114,29 @@ class Case:
                 uses[o] = uses.get(o, 0) + 1
         return sum(min(sum((size[o] + OBJECT_OVERHEAD) / uses[o] for o in c[1] if o not in held) for c in stage) for stage in self.stages[at:])
 
-    def best(self, most_states: int = 100_000) -> list[int]:
-        """Branch and bound over all choices; refuses to guess beyond its bound of states."""
-        have: set = set()
-        bound, choice = 0, []
-        for stage in self.stages:
-            i = self.cheapest(stage, have)
-            bound += self.cost(stage[i], have)
-            have |= stage[i][1].keys()
-            choice.append(i)
-        found, states = (bound, choice), 0
-        stack = [(0, 0, frozenset(), [])]
-        while stack:
-            at, cost, held, path = stack.pop()
-            states += 1
-            if states > most_states:
-                raise ValueError("more states than the exact plan allows")
-            if cost > found[0] or cost + self.least_left(at, held) > found[0] + 1e-6:
-                continue
-            if at == len(self.stages):
-                found = (cost, path) if cost <= found[0] else found
-                continue
-            stage = self.stages[at]
-            order = sorted(range(len(stage)), key=lambda i: self.cost(stage[i], held), reverse=True)
-            stack += [(at + 1, cost + self.cost(stage[i], held), held | stage[i][1].keys(), [*path, i]) for i in order]
-        return found[1]
+    def best(self) -> tuple[int, ...]:
+        """The cheapest plan over all choices; refuses to guess beyond its bound of states."""
+        most = sum(cost for _, cost in self.run("greedy"))
+        return self.forward(0, len(self.stages), frozenset(), most=most)[0][1]
 
     def run(self, policy: str) -> list[tuple[str, int]]:
         """(chosen, cost) by stage."""
-        have: set = set()
+        have: frozenset = frozenset()
         samples: dict[str, list] = {}
         out = []
         plan = self.best() if policy == "oracle" else None
         for at, stage in enumerate(self.stages):
-            plain = next(i for i, c in enumerate(stage) if c[0] == PLAIN)
-            cost = [self.cost(c, have) for c in stage]
-            others = [i for i in range(len(stage)) if i != plain]
-            pick = self.cheapest(stage, have)
-            if policy == "premium-cap":
-                rich = min(others, key=lambda i: (cost[i], i), default=None)
-                if rich is not None and cost[rich] <= PREMIUM * cost[plain]:
-                    pick = rich
-            elif policy == "late-bootstrap" and at:
-                pick = next((i for i in others if _overlap(samples.get(stage[i][0], []), stage[i][2]) >= LATE_OVERLAP and cost[i] <= LATE_PREMIUM * cost[plain]), pick)
-            elif policy == "expected-value":
-                q = HINTED if at and self.hinted else UNHINTED
-                known = lambda c, default: _overlap(samples[c[0]], c[2]) if samples.get(c[0]) else default  # noqa: E731, B023
-                later = lambda c, kept: self.cost(c, set()) * (1 - kept)
-                plain_later = later(stage[plain], known(stage[plain], PLAIN_OVERLAP))
-                pick, score = plain, float(cost[plain])
-                for i in others:
-                    s = cost[i] + q * (later(stage[i], known(stage[i], REUSE)) - plain_later)
-                    if s < score:
-                        pick, score = i, s
-            elif policy in LOOKAHEAD:
-                pick = self.ahead(at, *LOOKAHEAD[policy], have)
-            elif plan is not None:
+            view = View(at, self.hinted, stage, [self.cost(c, have) for c in stage], self.plain[at], samples)
+            if plan is not None:
                 pick = plan[at]
-            out.append((stage[pick][0], cost[pick]))
-            have |= stage[pick][1].keys()
-            for name, _, sample in stage:
-                samples[name] = sample[:64]
+            elif policy in LOOKAHEAD:
+                depth, width = LOOKAHEAD[policy]
+                pick = self.forward(at, min(at + depth + 1, len(self.stages)), have, width)[0][1][0]
+            else:
+                pick = min(range(len(stage)), key=lambda i: SCORES[policy](view, i))  # noqa: B023
+            out.append((stage[pick][0], view.cost[pick]))
+            have = have.union(stage[pick][1])
+            samples |= {name: sample[:64] for name, _, sample in stage}
         return out
 
 

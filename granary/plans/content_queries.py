@@ -51,7 +51,16 @@ def checksums(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-@register("castagnoli")
+_CRC_TABLE = "[" + ", ".join(str(x) for x in ct.crc32c_table()) + "]"
+
+
+@register(
+    "castagnoli",
+    f"""WITH p AS (SELECT page_id, list_transform(range(0, strlen(url)), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::BIGINT) AS b FROM pages)
+SELECT page_id, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, {_CRC_TABLE}[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS crc32c,
+       (CASE WHEN f >= 9223372036854775808::UHUGEINT THEN f::HUGEINT - 18446744073709551616::HUGEINT ELSE f::HUGEINT END)::BIGINT AS fnv1a
+FROM (SELECT *, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(b, lambda x: x::UHUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS f FROM p)""",
+)
 def castagnoli(spark, d):
     """CRC-32C and FNV-1a of keys."""
     return table(spark, d, "pages").select("page_id", ct.crc32c_udf("url").alias("crc32c"), ct.fnv1a_udf("url").alias("fnv1a"))
@@ -83,9 +92,22 @@ def validity_to_null(spark, d):
     return table(spark, d, "documents").join(lab, "doc_id", "left").select("doc_id", "quality", F.coalesce("v", F.lit(False)).alias("valid"))
 
 
-@register("key_bitmap", """SELECT l_orderkey % 100 AS grp, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey < 32768 GROUP BY 1""")
+@register("key_bitmap", """SELECT l_orderkey % 100 AS grp, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1""")
 def key_bitmap(spark, d):
-    """Sets as bitmaps, joined by or and counted."""
-    x = table(spark, d, "lineitem").filter("l_suppkey < 32768").select((F.col("l_orderkey") % 100).alias("grp"), (F.col("l_orderkey") % 7).alias("part"), "l_suppkey")
-    per = x.groupBy("grp", "part").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("l_suppkey") + 1)).alias("b"))
-    return per.groupBy("grp").agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("n"))
+    """Sets as bitmaps by bucket of numbers, joined by or and counted."""
+    x = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("grp"), (F.col("l_orderkey") % 7).alias("part"), "l_suppkey")
+    per = x.groupBy("grp", "part", F.bitmap_bucket_number("l_suppkey").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey")).alias("b"))
+    return per.groupBy("grp", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("n")).groupBy("grp").agg(F.sum("n").alias("n"))
+
+
+@register("half_floats", """WITH b AS (SELECT DISTINCT (l_orderkey % 65536)::INT AS bits FROM lineitem), f AS (SELECT bits, CASE WHEN bits >= 32768 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s, (bits // 1024) % 32 AS e, bits % 1024 AS m FROM b)
+SELECT bits, CASE WHEN e = 31 AND m = 0 THEN s * 'inf'::DOUBLE WHEN e = 31 THEN NULL WHEN e = 0 THEN s * m * power(2.0::DOUBLE, -24) ELSE s * (1 + m / 1024.0::DOUBLE) * power(2.0::DOUBLE, e - 15) END AS value FROM f""")
+def half_floats(spark, d):
+    """Bits of half precision as doubles, not-a-number as null."""
+    b = table(spark, d, "lineitem").select((F.col("l_orderkey") % 65536).cast("int").alias("bits")).distinct()
+    return b.select("bits", F.nullif(ct.half_value(F.col("bits")), F.lit(float("nan"))).alias("value"))
+
+
+@register("sha3_digests")
+def sha3_digests(spark, d):
+    return table(spark, d, "documents").select("doc_id", ct.sha3_256("text").alias("sha3"))

@@ -64,9 +64,9 @@ def state_diff(spark, d):
     return dv.state_diff(o.filter(m != 1), have)
 
 
-@register("ambiguous_keys", "SELECT l_suppkey AS native_key, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1")
+@register("ambiguous_keys", "SELECT l_suppkey AS native_key, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1")
 def ambiguous_keys(spark, d):
-    i = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("native_key"), F.col("l_partkey").alias("component"))
+    i = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("native_key"), F.col("l_partkey").alias("component"))
     return dv.ambiguous(i)
 
 
@@ -113,7 +113,9 @@ def union_totals(spark, d):
     return dv.union_totals(r.filter("version_id % 40 = 0"), stored)
 
 
-@register("event_replay")
+@register("event_replay", px.sql(px.VERSIONS, """v AS (SELECT "key", date_diff('day', DATE '1992-01-01', ts::DATE) AS day, version_id AS seq, size AS bytes FROM versions)""", """x AS (SELECT *, lead(day, 3) OVER (PARTITION BY "key" ORDER BY day, seq) AS gone FROM v)""",
+"""t AS (SELECT "key", unnest(range(min(day) + 7, max(day) + 8, 7)) AS tick, min(day) AS first FROM v GROUP BY 1)""", """n AS (SELECT *, CASE WHEN ((tick - first) // 7) % 2 = 0 THEN tick ELSE tick - 7 END AS swept FROM t)""",
+query="""SELECT n."key", tick AS day, coalesce(sum(bytes) FILTER (WHERE day < tick AND (gone IS NULL OR gone >= tick)), 0)::BIGINT AS live, coalesce(sum(bytes) FILTER (WHERE gone < tick AND gone >= swept), 0)::BIGINT AS dead, coalesce(sum(bytes) FILTER (WHERE gone < swept), 0)::BIGINT AS collected FROM n JOIN x ON x."key" = n."key" GROUP BY n."key", tick"""))
 def event_replay(spark, d):
     """Customers' orders as arrivals of a lineage, with ticks, retention of the last three and collection every second tick."""
     v = px.versions(spark, d)
@@ -174,12 +176,12 @@ def read_cost(spark, d):
     return r.groupBy("version_id").agg(F.count("*").alias("chunks"), F.count_distinct("pack").alias("opens"), F.sum("length").alias("bytes"), (1 + F.coalesce(F.sum((F.col("pack") != F.col("prev")).cast("long")), F.lit(0))).alias("seeks"))
 
 
-@register("compact_order", px.sql(px.REFS, query="SELECT sha, row_number() OVER (ORDER BY version_id, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY version_id, ord) AS rn FROM refs WHERE version_id % 30 = 0) WHERE rn = 1"))
+@register("compact_order", px.sql(px.REFS, query="SELECT sha, row_number() OVER (ORDER BY version_id, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY version_id, ord) AS rn FROM refs) WHERE rn = 1"))
 def compact_order(spark, d):
     """Places of chunks in locality order: sorted ranges are numbered apart and shifted by the counts before them."""
     from granary.operators.storage import cut
 
-    first = ck.first_reference_order(px.refs(spark, d).filter("version_id % 30 = 0"), ["version_id", "ord"]).select("sha", "first.*")
+    first = ck.first_reference_order(px.refs(spark, d), ["version_id", "ord"]).select("sha", "first.*")
     laid = cut(first.repartitionByRange(4, "version_id", "ord").sortWithinPartitions("version_id", "ord").withColumn("part", F.spark_partition_id()))
     from pyspark.sql import Window
 
@@ -201,7 +203,8 @@ def layout_entropy(spark, d):
     return st.entropy_bytes(x, ["source"], F.col("ch")).select("source", F.round("entropy", 6).alias("entropy"), "n")
 
 
-@register("move_to_front")
+@register("move_to_front", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY user_id, event_type ORDER BY i), 0) AS prev FROM e)
+SELECT p.user_id, p.event_id, count(DISTINCT q.event_type)::INT AS code FROM p LEFT JOIN p q ON q.user_id = p.user_id AND q.i < p.i AND q.i > p.prev GROUP BY 1, 2""")
 def move_to_front(spark, d):
     x = table(spark, d, "events").select("user_id", "event_id", "event_type")
     return dv.move_to_front(x, "user_id", "event_id", "event_type")

@@ -174,9 +174,9 @@ def marginal_cost(spark, d):
     return pl.marginal(w, px.stored(spark, d).filter("sha % 2 = 0").select(F.col("sha").alias("component")))
 
 
-@register("releasable", px.sql(px.REFS, query="SELECT obj, sum(size + 96)::BIGINT AS bytes FROM (SELECT sha, min(version_id) AS obj, max(length) AS size FROM refs WHERE version_id % 10 = 0 GROUP BY sha HAVING count(*) = 1) GROUP BY obj"))
+@register("releasable", px.sql(px.REFS, query="SELECT obj, sum(size + 96)::BIGINT AS bytes FROM (SELECT sha, length, min(version_id) AS obj, length AS size FROM refs GROUP BY sha, length HAVING count(*) = 1) GROUP BY obj"))
 def releasable(spark, d):
-    h = px.refs(spark, d).filter("version_id % 10 = 0").select(F.col("version_id").alias("obj"), F.col("sha").alias("component"), F.col("length").alias("size"))
+    h = px.refs(spark, d).select(F.col("version_id").alias("obj"), F.struct("sha", "length").alias("component"), F.col("length").alias("size"))
     return pl.releasable(h)
 
 

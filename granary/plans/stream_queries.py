@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from granary.operators.storage import shared_dir
 from granary.plans.chunk_queries import _JOURNAL
 from granary.plans import proxies as px
 from granary.plans.registry import register, table
@@ -14,8 +14,7 @@ from granary.streaming import journal as sj
 
 
 def _places(spark) -> tuple[str, str]:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
-    at = f"{root.rstrip('/')}/granary-stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/granary-stream-{uuid.uuid4().hex}"
     return f"{at}/out", f"{at}/state"
 
 

@@ -31,15 +31,20 @@ def deflated(body, level: int = 6):
     """struct<codec, body>: DEFLATE kept only if it saves a sixteenth at least."""
     import zlib
 
-    @F.udf("struct<codec:int,body:binary>")
-    def pack(x):
+    import pandas as pd
+
+    def one(x) -> tuple[int | None, bytes | None]:
         if x is None:
-            return None
+            return None, None
         z = zlib.compressobj(level, zlib.DEFLATED, -15)
         small = z.compress(bytes(x)) + z.flush()
         return (1, small) if len(x) - len(small) >= len(x) / 16 and len(x) else (0, bytes(x))
 
-    return pack(body)
+    @F.pandas_udf("codec int, body binary")
+    def pack(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(b) for b in x], columns=["codec", "body"]).astype({"codec": "Int32"})
+
+    return F.when(body.isNotNull(), pack(body))
 
 
 def bundle(manifests: DataFrame, chunks: DataFrame, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
