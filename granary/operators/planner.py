@@ -198,6 +198,61 @@ def marginal(wanted: DataFrame, stored: DataFrame, overhead: int = OBJECT_OVERHE
     return wanted.select("obj", "component", "size").distinct().join(stored.select("component"), "component", "left_anti").groupBy("obj").agg(F.sum(F.col("size") + overhead).alias("bytes"))
 
 
+def what_if(holdings: DataFrame, moves: DataFrame, overhead: int = OBJECT_OVERHEAD) -> DataFrame:
+    """One row (live_delta, peak_extra) if objects were held by other components: of both sides (obj, component, size).
+
+    New components are written before old ones go: the peak is what of them isn't there yet. The store isn't changed.
+    """
+    kept = holdings.join(moves.select("obj").distinct(), "obj", "left_anti")
+    sized = lambda d, name: d.groupBy("component").agg((F.max("size") + overhead).alias(name))
+    j = sized(holdings, "now").join(sized(kept.unionByName(moves.select("obj", "component", "size")), "then"), "component", "full_outer")
+    now, then = F.coalesce("now", F.lit(0)), F.coalesce("then", F.lit(0))
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    return j.agg(total(then - now, "live_delta"), total(F.when(F.col("now").isNull(), then), "peak_extra"))
+
+
+#: Outcomes of deferred work.
+TICK, FORCED, WAITING = "tick", "forced", "waiting"
+
+
+def deferred(arrivals: DataFrame, room: int, every: int, budget: int) -> DataFrame:
+    """(key, content, first, arrivals, how, at): units of work of arrivals (key, seq, content) through a bounded queue for each key.
+
+    Arrivals of content that waits already join its unit. A full queue does its oldest unit at once to make room. After every
+    ``every`` arrivals a tick does up to ``budget`` of the oldest; it yields after that, and the rest wait on. ``at`` is the
+    arrival that a unit was done after, null for those that wait at the end.
+    """
+    kind = arrivals.schema["key"].dataType.simpleString()
+    held = arrivals.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("a"))
+    names = ["key", "content", "first", "arrivals", "how", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for key, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                queue: dict[str, list[int]] = {}
+
+                def done(how: str, at: int | None, key=key, queue=queue) -> None:
+                    content = next(iter(queue))
+                    seqs = queue.pop(content)
+                    rows.append((key, content, seqs[0], len(seqs), how, at))
+
+                for n, x in enumerate(found, 1):
+                    if x["content"] not in queue and len(queue) == room:
+                        done(FORCED, x["seq"])
+                    queue.setdefault(x["content"], []).append(x["seq"])
+                    if n % every == 0:
+                        for _ in range(min(budget, len(queue))):
+                            done(TICK, x["seq"])
+                while queue:
+                    done(WAITING, None)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (b.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return held.mapInArrow(run, f"key {kind}, content string, first bigint, arrivals bigint, how string, at bigint")
+
+
 def churn(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id, reason) of entries (id, base, offset, payload, raw) of two packs: new, gone, same, moved, repacked, changed."""
     l, r = a.select("id", *[F.col(c).alias(f"l_{c}") for c in ("base", "offset", "payload", "raw")]), b.select("id", *[F.col(c).alias(f"r_{c}") for c in ("base", "offset", "payload", "raw")])

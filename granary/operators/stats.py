@@ -61,6 +61,46 @@ def affine_fit(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))
 
 
+def plane_fit(df: DataFrame, by: list[str], y: str, x1: str, x2: str) -> DataFrame:
+    """(by, a, b, c, n) of least squares ``y = a x1 + b x2 + c`` by its normal equations; null where they have no one solution."""
+    held = df.select(*by, *[F.col(v).cast("double").alias(k) for k, v in (("y", y), ("p", x1), ("q", x2))]).filter("y IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL")
+    s = lambda e, name: F.sum(e).alias(name)
+    p, q, t = F.col("p"), F.col("q"), F.col("y")
+    sums = held.groupBy(*by).agg(s(p, "sp"), s(q, "sq"), s(t, "st"), s(p * p, "pp"), s(p * q, "pq"), s(q * q, "qq"), s(p * t, "pt"), s(q * t, "qt"), F.count("*").alias("n"))
+    c = {k: F.col(k) for k in ("sp", "sq", "st", "pp", "pq", "qq", "pt", "qt", "n")}
+    # about the means: two equations
+    pp, pq, qq = c["n"] * c["pp"] - c["sp"] * c["sp"], c["n"] * c["pq"] - c["sp"] * c["sq"], c["n"] * c["qq"] - c["sq"] * c["sq"]
+    pt, qt = c["n"] * c["pt"] - c["sp"] * c["st"], c["n"] * c["qt"] - c["sq"] * c["st"]
+    det = pp * qq - pq * pq
+    a, b = F.when(det != 0, (pt * qq - qt * pq) / det), F.when(det != 0, (qt * pp - pt * pq) / det)
+    found = sums.withColumns({"a": a, "b": b})
+    return found.select(*by, "a", "b", ((c["st"] - F.col("a") * c["sp"] - F.col("b") * c["sq"]) / c["n"]).alias("c"), "n")
+
+
+def robust_fit(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
+    """(by, kind, a, c, bits): of identity, least squares, scale alone and offset alone that whose rounded residuals have the fewest bits in all.
+
+    Squared errors are ruled by a few large ones; bits follow the usual value. Ties go by that order.
+    """
+    held = df.select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter("__x IS NOT NULL AND __y IS NOT NULL")
+    u, v = F.col("__x"), F.col("__y")
+    n, su, sv, uu, uv = (F.col(f"__{k}") for k in ("n", "su", "sv", "uu", "uv"))
+    sums = held.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(u).alias("__su"), F.sum(v).alias("__sv"), F.sum(u * u).alias("__uu"), F.sum(u * v).alias("__uv"))
+    den = n * uu - su * su
+    slope = F.when(den > 0, (n * uv - su * sv) / den).otherwise(F.lit(1.0))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    kinds = [("identity", one, zero), ("affine", slope, (sv - slope * su) / n), ("scale", F.when(uu > 0, uv / uu).otherwise(one), zero), ("offset", one, (sv - su) / n)]
+    fits = sums.select(*by, *[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), a.alias("a"), c.alias("c")).alias(k) for i, (k, a, c) in enumerate(kinds)])
+
+    def bits(k: str) -> Column:
+        r = F.abs(F.round(v - F.col(f"{k}.a") * u - F.col(f"{k}.c"))).cast("long")
+        return F.sum(F.when(r > 0, F.length(F.bin(r))).otherwise(0))
+
+    priced = held.join(fits, by).groupBy(*by).agg(*[F.struct(bits(k).alias("bits"), F.first(k).alias("fit")).alias(k) for k, _, _ in kinds])
+    best = F.array_min(F.array(*[F.struct(F.col(f"{k}.bits").alias("bits"), F.col(f"{k}.fit").alias("fit")) for k, _, _ in kinds]))
+    return priced.select(*by, best.alias("m")).select(*by, "m.fit.kind", "m.fit.a", "m.fit.c", "m.bits")
+
+
 def cumulative(df: DataFrame, by: list[str], order: list[str], c: str) -> DataFrame:
     return df.withColumn("cumulative", F.sum(c).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from granary.functions import content as ct
@@ -243,3 +244,43 @@ def prior_calibration(spark, d):
     plain = s.select("lineage", "t", F.lit(pl.PLAIN).alias("scheme"), F.col("p").alias("own"), F.when(F.col("t") > 0, 1 - F.col("r")).alias("overlap"))
     rep = s.select("lineage", "t", F.lit("rep").alias("scheme"), (F.col("p") * (0.5 + F.col("r"))).alias("own"), F.when(F.col("t") > 0, F.col("r")).alias("overlap"))
     return pl.priors(plain.unionByName(rep)).select(*[F.round(c, 6).alias(c) for c in ("ratio", "rho_rep", "rho_plain", "q")], "n")
+
+
+@register("generated_chains", """WITH r AS (SELECT l AS lineage, c AS record, v AS revision, v = 0 OR ('0x' || substr(md5(concat_ws(':', '7', l, c, v)), 1, 8))::BIGINT % 10 = 0 AS new FROM range(20) x(l), range(50) y(c), range(6) z(v)),
+m AS (SELECT *, max(CASE WHEN new THEN revision END) OVER (PARTITION BY lineage, record ORDER BY revision) AS made FROM r) SELECT lineage, revision, record, md5(concat_ws(':', '8', lineage, record, made)) AS body FROM m""")
+def generated_chains(spark, d):
+    from granary.sources import generated
+
+    return generated.chains(spark, 20, 6, 50, seed=7)
+
+
+@register("delta_envelopes", "SELECT doc_id, true AS exact, true AS bounded FROM documents WHERE text IS NOT NULL")
+def delta_envelopes(spark, d):
+    """Each document as an envelope over its source's first one, decoded again; its size lies within what the estimate says."""
+    from granary.functions import content, envelope
+
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    base = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("base"))
+
+    @F.pandas_udf("exact boolean, bounded boolean")
+    def proved(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b, t in zip(x, y, strict=True):
+            b, t = (b or "").encode(), t.encode()
+            ops = [(0, o, n, lit) for o, n, lit in content.delta(b, t)]
+            held = envelope.encode([b], ops, t)
+            least, most = envelope.bounds(ops, len(t))
+            rows.append((envelope.decode(held, lambda _, b=b: b) == t, least <= len(held) <= most))
+        return pd.DataFrame(rows, columns=["exact", "bounded"])
+
+    kept = docs.join(base, docs["source"].eqNullSafe(base["source"])).select("doc_id", proved("base", "text").alias("p"))
+    return kept.select("doc_id", "p.exact", "p.bounded")
+
+
+@register("parquet_page_walk", """SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS "column", count(*) AS n FROM nation""")
+def parquet_page_walk(spark, d):
+    """Values in the data pages of a table's files, by column."""
+    from granary.sources import readers
+
+    pages = readers.read(spark, "parquet_pages", f"{d}/nation.parquet")
+    return pages.filter("kind LIKE 'data%' AND column IN ('n_nationkey', 'n_name', 'n_regionkey')").groupBy("column").agg(F.sum("n").alias("n"))

@@ -206,3 +206,43 @@ def admission_policies(spark, d):
     whole = F.array(F.struct(F.concat(F.lit("plain-"), F.col("stage").cast("string")).alias("id"), (F.col("total") * 4).alias("size")))
     plain = rep.select("case", "hinted", "stage", F.lit(0).alias("rank"), F.lit(pl.PLAIN).alias("name"), whole.alias("objects"), F.array().cast("array<string>").alias("sample"))
     return pl.admission(rep.drop("total").unionByName(plain))
+
+
+@register("plane_fit", """WITH s AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(l_quantity::DOUBLE) AS st, sum(l_linenumber::DOUBLE) AS sp, sum((l_suppkey % 10)::DOUBLE) AS sq, sum((l_linenumber * l_linenumber)::DOUBLE) AS pp, sum((l_linenumber * (l_suppkey % 10))::DOUBLE) AS pq,
+ sum(((l_suppkey % 10) * (l_suppkey % 10))::DOUBLE) AS qq, sum(l_linenumber * l_quantity::DOUBLE) AS pt, sum((l_suppkey % 10) * l_quantity::DOUBLE) AS qt FROM lineitem GROUP BY 1),
+m AS (SELECT *, n * pp - sp * sp AS a11, n * pq - sp * sq AS a12, n * qq - sq * sq AS a22, n * pt - sp * st AS b1, n * qt - sq * st AS b2 FROM s),
+f AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS a, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS b FROM m)
+SELECT l_returnflag, round(a, 6) AS a, round(b, 6) AS b, round((st - a * sp - b * sq) / n, 6) AS c, n::BIGINT AS n FROM f""")
+def plane_fit(spark, d):
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_linenumber", (F.col("l_suppkey") % 10).alias("s"))
+    f = st.plane_fit(x, ["l_returnflag"], "l_quantity", "l_linenumber", "s")
+    return f.select("l_returnflag", *[F.round(c, 6).alias(c) for c in "abc"], "n")
+
+
+@register("robust_fit", """WITH x AS (SELECT l_suppkey AS k, l_quantity::DOUBLE AS u, (CASE WHEN l_suppkey % 4 = 0 THEN l_quantity WHEN l_suppkey % 4 = 1 THEN 3 * l_quantity + 7 WHEN l_suppkey % 4 = 2 THEN l_quantity + 40 ELSE l_quantity END + CASE WHEN l_linenumber = 7 THEN 1000 ELSE l_linenumber END)::DOUBLE AS v FROM lineitem),
+s AS (SELECT k, count(*)::DOUBLE AS n, sum(u) AS su, sum(v) AS sv, sum(u * u) AS uu, sum(u * v) AS uv FROM x GROUP BY 1),
+s2 AS (SELECT *, CASE WHEN n * uu - su * su > 0 THEN (n * uv - su * sv) / (n * uu - su * su) ELSE 1.0::DOUBLE END AS sl FROM s),
+f AS (SELECT k, 0 AS r, 'identity' AS kind, 1.0::DOUBLE AS a, 0.0::DOUBLE AS c FROM s2 UNION ALL SELECT k, 1, 'affine', sl, (sv - sl * su) / n FROM s2 UNION ALL SELECT k, 2, 'scale', CASE WHEN uu > 0 THEN uv / uu ELSE 1.0 END, 0.0 FROM s2 UNION ALL SELECT k, 3, 'offset', 1.0, (sv - su) / n FROM s2),
+b AS (SELECT k, r, kind, sum(CASE WHEN e > 0 THEN length(bin(e)) ELSE 0 END)::BIGINT AS bits FROM (SELECT f.k, r, kind, abs(round(v - a * u - c))::BIGINT AS e FROM f JOIN x ON f.k = x.k) GROUP BY 1, 2, 3)
+SELECT k, kind, bits FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bits, r) AS rn FROM b) WHERE rn = 1""")
+def robust_fit(spark, d):
+    q, s = F.col("l_quantity"), F.col("l_suppkey") % 4
+    y = F.when(s == 1, 3 * q + 7).when(s == 2, q + 40).otherwise(q) + F.when(F.col("l_linenumber") == 7, 1000).otherwise(F.col("l_linenumber"))
+    return st.robust_fit(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), q.alias("u"), y.alias("v")), ["k"], "v", "u").select("k", "kind", "bits")
+
+
+@register("what_if_moved", px.sql(px.REFS, """c AS (SELECT version_id AS obj, sha AS component, length AS size FROM refs)""", """mv AS (SELECT obj, CASE WHEN component % 3 = 0 THEN component ELSE -component END AS component, size FROM c WHERE obj % 10 = 0)""",
+"""n AS (SELECT component, max(size) + 96 AS now FROM c GROUP BY 1)""", """t AS (SELECT component, max(size) + 96 AS then_ FROM (SELECT * FROM c WHERE obj % 10 <> 0 UNION ALL SELECT * FROM mv) GROUP BY 1)""",
+query="SELECT (coalesce(sum(then_), 0) - coalesce(sum(now), 0))::BIGINT AS live_delta, coalesce(sum(then_) FILTER (WHERE now IS NULL), 0)::BIGINT AS peak_extra FROM n FULL JOIN t USING (component)"))
+def what_if_moved(spark, d):
+    """Every tenth object held by other components for two thirds of its own."""
+    c = px.refs(spark, d).select(F.col("version_id").alias("obj"), F.col("sha").alias("component"), F.col("length").alias("size"))
+    moves = c.filter("obj % 10 = 0").withColumn("component", F.when(F.col("component") % 3 == 0, F.col("component")).otherwise(-F.col("component")))
+    return pl.what_if(c, moves)
+
+
+@register("deferred_units", """SELECT user_id AS "key", count(*) AS arrivals FROM events GROUP BY 1""")
+def deferred_units(spark, d):
+    """Every arrival is in one unit of its user's queue."""
+    a = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return pl.deferred(a, 2, 5, 1).groupBy("key").agg(F.sum("arrivals").alias("arrivals"))

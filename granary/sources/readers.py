@@ -151,6 +151,75 @@ def parquet_chunks(data: bytes) -> Iterator[tuple]:
 PARQUET = "row_group int, column string, type string, codec string, n bigint, packed bigint, unpacked bigint, offset bigint"
 
 
+class _Compact:
+    """Structs of the compact protocol as dicts by field number; lists as lists."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+
+    def number(self) -> int:
+        n, self.at = read_varint(self.data, self.at)
+        return n >> 1 ^ -(n & 1)
+
+    def value(self, kind: int):
+        if kind in (1, 2):
+            return kind == 1
+        if kind == 3:
+            self.at += 1
+            return int.from_bytes(self.data[self.at - 1 : self.at], "little", signed=True)
+        if kind in (4, 5, 6):
+            return self.number()
+        if kind == 7:
+            self.at += 8
+            return self.data[self.at - 8 : self.at]
+        if kind == 8:
+            n, self.at = read_varint(self.data, self.at)
+            self.at += n
+            return self.data[self.at - n : self.at]
+        if kind in (9, 10):
+            head = self.data[self.at]
+            self.at += 1
+            n = head >> 4
+            if n == 15:
+                n, self.at = read_varint(self.data, self.at)
+            return [self.value(head & 15) for _ in range(n)]
+        if kind == 12:
+            return self.struct()
+        raise ValueError("type of a field")
+
+    def struct(self) -> dict:
+        out, field = {}, 0
+        while True:
+            head = self.data[self.at]
+            self.at += 1
+            if not head:
+                return out
+            field = field + (head >> 4) if head >> 4 else self.number()
+            out[field] = self.value(head & 15)
+
+
+#: Fixed values of the format.
+_PAGE_KINDS = {0: "data", 1: "index", 2: "dictionary", 3: "data_v2"}
+
+
+def parquet_pages(data: bytes) -> Iterator[tuple]:
+    """Pages of a Parquet file: each column chunk is walked from header to header."""
+    for g, column, _, codec, _, size, _, at in parquet_chunks(data):
+        end, page = at + size, 0
+        while at < end:
+            c = _Compact(data, at)
+            head = c.struct()
+            unpacked_, packed_ = head[2], head[3]
+            own = head.get(5) or head.get(7) or head.get(8) or {}
+            if packed_ < 0 or c.at + packed_ > end:
+                raise ValueError(f"{column}: page beyond its chunk")
+            yield g, column, page, _PAGE_KINDS[head[1]], codec, at, c.at - at, packed_, unpacked_, own.get(1, 0)
+            at, page = c.at + packed_, page + 1
+
+
+PAGES_OF_PARQUET = "row_group int, column string, page int, kind string, codec string, offset bigint, header bigint, packed bigint, unpacked bigint, n bigint"
+
+
 def safetensors(data: bytes) -> Iterator[tuple]:
     n = int.from_bytes(data[:8], "little")
     if 8 + n > len(data):
@@ -314,6 +383,7 @@ READERS: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "sqlite": (sqlite_rows, ROWS),
     "arrow": (arrow_rows, ARROW),
     "parquet": (parquet_chunks, PARQUET),
+    "parquet_pages": (parquet_pages, PAGES_OF_PARQUET),
     "safetensors": (safetensors, TENSORS),
     "gguf": (gguf, TENSORS),
     "car": (car_blocks, BLOCKS),

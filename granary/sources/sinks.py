@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,6 @@ def write_packs(chunks: DataFrame, order: list[str], path: str, packs: int) -> N
 
 def deflated(body, level: int = 6):
     """struct<codec, body>: DEFLATE kept only if it saves a sixteenth at least."""
-    import zlib
-
-    import pandas as pd
-
     def one(x) -> tuple[int | None, bytes | None]:
         if x is None:
             return None, None
