@@ -1,10 +1,10 @@
 """Secrets: fixed patterns, and strings of high entropy that they miss.
 
 Base: assignments to password-like names, access key ids, and long hexadecimal strings. The method then looks at every other
-string of twenty characters or more of the Base64 alphabet that holds a digit: it slides a window over it and keeps the counts
+string of twenty characters or more of the Base64 alphabet: it slides a window over it and keeps the counts
 of the characters inside; each step changes two counts and so the sum of ``c log c`` by two terms, and Shannon entropy is the
-window's log less that sum over its length. Each character class (hexadecimal, alphanumeric, Base64) has its own window and
-threshold. An allow-list suppresses candidates: placeholders, runs of the alphabet, and values given by the caller.
+window's log less that sum over its length. Each character class (no digit, hexadecimal, alphanumeric, Base64) has its own window
+and threshold; without a digit it is one that long words, names and paths stay below. An allow-list suppresses candidates: placeholders, runs of the alphabet, and values given by the caller.
 
 Built-in functions only; a document is read once and nothing is shuffled. Memory is that of one text.
 
@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ class CharClass:
 
 
 CLASSES = (
+    CharClass(r"^(?=[^0-9]+$)(?![a-f]+$|[A-F]+$)", 24, 4.05),
     CharClass(r"^([0-9a-f]+|[0-9A-F]+)$", 20, 3.0),
     CharClass(r"^[A-Za-z0-9]+$", 20, 3.6),
     CharClass(r"^[A-Za-z0-9+/_=-]+$", 24, 3.9),
@@ -93,7 +94,7 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column, allowed: tuple[str, ...] = ()) -> Column:
-    near = found(text, CANDIDATE, text.rlike("[0-9]"))
+    near = found(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_-]{20}"))
     return of_kind(F.filter(near, lambda s: ~overlaps(base, s["start"], s["end"]) & suspicious(s["value"], allowed)), 3)
 
 

@@ -337,6 +337,9 @@ def test_secret_entropy_and_allow_list(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.spans for r in secrets.query(df).collect()} == {0: "entropy:4:36", 1: "", 2: "", 3: "hex:0:26"}
     assert [r.doc_id for r in secrets.find(df, allowed=(token,)).filter("size(spans) > 0").collect()] == [3]
+    letters = ["QkXpLzvNhsTawXyeBcDufGkJmRoVgWtI", "Donaudampfschifffahrtsgesellschaft", "/usr/local/share/doc/python/html", "getElementsByTagNameAndClassName"]
+    found = secrets.query(spark.createDataFrame([(k, f"see {v}.") for k, v in enumerate(letters)] + [(9, f"{letters[0]} {letters[0]} {token}"), (9, f"{letters[0]} {letters[0]} {token}")], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})).collect()
+    assert sorted((r.doc_id, r.spans) for r in found) == [(0, "entropy:4:36"), (1, ""), (2, ""), (3, ""), *[(9, "entropy:0:32,entropy:33:65,entropy:66:98")] * 2]
     w = 20
     plain = lambda v: max((-sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values()) for i in range(len(v) - w + 1)), default=0)
     for v, e in spark.createDataFrame([(token,), ("aaaaaaaaaaaaaaaaaaaaaaaab1",)], "v string").select("v", secrets.max_entropy(F.col("v"), w)).collect():
