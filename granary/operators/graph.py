@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.storage import cut
+from granary.operators.storage import cut, dropped
 
 
 def merkle_levels(leaves: DataFrame, fanout: int = 16) -> list[DataFrame]:
@@ -43,7 +43,8 @@ def refined(nodes: DataFrame, edges: DataFrame, most_rounds: int = 32) -> DataFr
     for _ in range(most_rounds):
         below = edges.join(colours, edges["dst"] == colours["id"], "left").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("cls", F.lit("dangling")).alias("c")))).alias("below"))
         text = F.concat_ws("|", F.col("cls"), F.array_join(F.transform("below", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["c"])), ","))
-        colours = cut(colours.join(below, colours["id"] == below["src"], "left").select("id", F.sha2(text, 256).alias("cls")))
+        last, colours = colours, cut(colours.join(below, colours["id"] == below["src"], "left").select("id", F.sha2(text, 256).alias("cls")))
+        dropped(last)
         m = colours.select("cls").distinct().count()
         if m == n:
             break
@@ -60,9 +61,11 @@ def families(edges: DataFrame) -> DataFrame:
         low = labels.join(near, labels["node"] == near["src"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         hop = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
         new = cut(low.join(hop, low["root"] == hop["via"], "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
-        labels = new.select("node", "root")
+        dropped(labels)
+        labels = new
         if new.filter("root <> was").isEmpty():
-            return labels
+            dropped(both)
+            return labels.select("node", "root")
 
 
 def strong_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -103,7 +106,8 @@ def chain_depths(parents: DataFrame) -> DataFrame:
     span, nodes = 1, state.count()
     while span <= nodes and not state.filter("up IS NOT NULL").isEmpty():
         nxt = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        state = cut(state.join(nxt, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+        last, state = state, cut(state.join(nxt, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+        dropped(last)
         span *= 2
     return state.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cyclic"))
 

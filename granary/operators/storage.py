@@ -24,11 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, read again; a folder of its own only where none is set.
 
     A checkpoint computes its plan twice and hands its constraints on to the next round's plan, where they multiply; a table
-    has neither fault. The table goes when the driver's process ends.
+    has neither fault. The table goes with :func:`dropped`, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables made by :func:`cut`, once no plan reads them any more."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._granary_path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

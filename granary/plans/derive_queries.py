@@ -10,6 +10,7 @@ from granary.operators import chunks as ck
 from granary.operators import derive as dv
 from granary.operators import similarity as sim
 from granary.operators import stats as st
+from granary.operators.storage import cut
 from granary.plans import proxies as px
 from granary.plans.registry import register, table
 
@@ -90,7 +91,7 @@ def placement_ladder(spark, d):
 def delta_bases(spark, d):
     """For every fiftieth document the similar one whose delta adds least, over the index's candidates."""
     docs = table(spark, d, "documents")
-    p = ct.feature_map(docs, "doc_id", "text")
+    p = cut(ct.feature_map(docs, "doc_id", "text"))  # read twice
     c = sim.candidates(p.filter("id % 50 = 0"), sim.newest(p), 4)
     bodies = docs.select("doc_id", "text")
     pairs = c.join(bodies.withColumnsRenamed({"doc_id": "query", "text": "body"}), "query").join(bodies.withColumnsRenamed({"doc_id": "id", "text": "base_body"}), "id")
@@ -180,8 +181,6 @@ def read_cost(spark, d):
 @register("compact_order", px.sql(px.REFS, query="SELECT sha, row_number() OVER (ORDER BY version_id, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY version_id, ord) AS rn FROM refs) WHERE rn = 1"))
 def compact_order(spark, d):
     """Places of chunks in locality order: sorted ranges are numbered apart and shifted by the counts before them."""
-    from granary.operators.storage import cut
-
     first = ck.first_reference_order(px.refs(spark, d), ["version_id", "ord"]).select("sha", "first.*")
     laid = cut(first.repartitionByRange(4, "version_id", "ord").sortWithinPartitions("version_id", "ord").withColumn("part", F.spark_partition_id()))
     from pyspark.sql import Window

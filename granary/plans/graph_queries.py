@@ -140,3 +140,27 @@ def mutual_match(spark, d):
     """Suppliers against themselves: every name is its own only partner."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("ident"), F.array(F.col("s_nationkey").cast("string")).alias("context"))
     return gr.unique_then_mutual(s, s)
+
+
+@register("context_match", """WITH x AS (SELECT s_suppkey AS id, s_nationkey AS ident, list_distinct(string_split(substr(md5(s_name), 1, 12), '')) AS context FROM supplier),
+p AS (SELECT a.id AS a, b.id AS b, a.ident, len(list_intersect(a.context, b.context)) AS score FROM x a JOIN x b ON a.ident = b.ident WHERE a.id % 2 = 1 AND b.id % 2 = 0),
+n AS (SELECT *, count(DISTINCT a) OVER (PARTITION BY ident) * count(DISTINCT b) OVER (PARTITION BY ident) AS ways FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rb FROM n)
+SELECT a, b, CASE WHEN ways = 1 THEN 'unique' ELSE 'context' END AS how FROM r WHERE ra = 1 AND rb = 1""")
+def context_match(spark, d):
+    """Suppliers of odd and even numbers within a nation, by characters that their names' digests share."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("ident"), F.array_distinct(F.split(F.substring(F.md5("s_name"), 1, 12), "")).alias("context"))
+    return gr.unique_then_mutual(s.filter("id % 2 = 1"), s.filter("id % 2 = 0"))
+
+
+_STEPS = """e AS (SELECT p_partkey AS src, (p_partkey // 20) * 20 + (p_partkey * 3 + 1) % 20 AS dst FROM part UNION SELECT p_partkey, (p_partkey // 20) * 20 + (p_partkey * 7 + p_partkey // 20) % 20 FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@register("strong_components_of_parts", f"""WITH RECURSIVE {_STEPS}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, greatest(node, coalesce((SELECT max(x.b) FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a = node), node)) AS component FROM n""")
+def strong_components_of_parts(spark, d):
+    p = F.col("p_partkey")
+    block, k = F.floor(p / 20) * 20, F.floor(p / 20)
+    part = table(spark, d, "part")
+    edges = part.select(p.alias("src"), (block + (p * 3 + 1) % 20).alias("dst")).union(part.filter(p % 3 == 0).select(p, block + (p * 7 + k) % 20))
+    return gr.strong_components(edges)

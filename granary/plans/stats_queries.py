@@ -9,6 +9,7 @@ from granary.functions import content as ct
 from granary.operators import planner as pl
 from granary.operators import similarity as sim
 from granary.operators import stats as st
+from granary.operators.storage import cut
 from granary.plans import proxies as px
 from granary.plans.registry import register, table
 
@@ -155,7 +156,7 @@ def bottom_k(spark, d):
 @register("sketch_candidates")
 def sketch_candidates(spark, d):
     """Bottom-k shingle sketches of all documents; every fiftieth document's nearest by shared features."""
-    p = ct.feature_map(table(spark, d, "documents"), "doc_id", "text")
+    p = cut(ct.feature_map(table(spark, d, "documents"), "doc_id", "text"))  # read twice
     return sim.candidates(p.filter("id % 50 = 0"), sim.newest(p), 8)
 
 
