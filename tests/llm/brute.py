@@ -153,3 +153,45 @@ def kneser_ney(texts: list[tuple[bytes, int | None]], discount: float = 2.0, sha
         return (max(seen.get(s, 0) - discount, 0) + sum(min(c, discount) for c in seen.values()) * lower(s[1:])) / n
 
     return six, lambda s: math.log(of_class(s, 1)) - math.log(of_class(s, 0))
+
+
+def quality_features(text: str | None) -> list[float]:
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, letters, upper = sum(map(len, w)), len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t))
+    windows: dict[tuple, list[int]] = {}
+    for i in range(len(w) - 4):
+        windows.setdefault(tuple(w[i : i + 5]), []).append(i)
+    repeated = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    ratio = lambda a, b: a / b if b else 0.0
+    return [
+        math.log1p(len(w)), min(ratio(chars, len(w)), 30.0), min(ratio(len(re.findall(r"[#*$%&|<>]", t)), len(w)), 3.0), ratio(len(lines) - len(set(lines)), len(lines)),
+        ratio(upper, letters), ratio(len(repeated), len(w)), math.log1p(len(lines)), ratio(letters, chars),
+    ]
+
+
+def site_posteriors(labelled: list[tuple]) -> tuple[dict[tuple, float], dict, float]:
+    """Posteriors of (host, path) and of hosts, and the global rate, of (host, path, 0 or 1)."""
+
+    def strength(groups: list[tuple[int, int, float]]) -> float:
+        some = [(n, good, around) for n, good, around in groups if n >= 2]
+        if len(some) < 2:
+            return 1000.0
+        ss = sum(n * (good / n - around) ** 2 for n, good, around in some)
+        noise = sum(around * (1 - around) for _, _, around in some)
+        between = (ss - noise) / sum(n for n, _, _ in some)
+        return min(max(noise / len(some) / between - 1 if between > 0 else 1000.0, 2.0), 1000.0)
+
+    paths: dict[tuple, list[int]] = {}
+    hosts: dict = {}
+    for h, p, y in labelled:
+        for d, k in ((paths, (h, p)), (hosts, h)):
+            d.setdefault(k, [0, 0])
+            d[k][0] += 1
+            d[k][1] += y
+    rate = (sum(y for _, _, y in labelled) + 1) / (len(labelled) + 2)
+    m = strength([(n, g, rate) for n, g in hosts.values()])
+    of_host = {h: (g + m * rate) / (n + m) for h, (n, g) in hosts.items()}
+    k = strength([(n, g, of_host[h]) for (h, _), (n, g) in paths.items()])
+    return {x: (g + k * of_host[x[0]]) / (n + k) for x, (n, g) in paths.items()}, of_host, rate

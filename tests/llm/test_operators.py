@@ -559,6 +559,31 @@ def test_posteriors_shrink(spark):
     assert abs(p["big"] - 0.9) < 0.02 and abs(p["bad"] - 0.2) < 0.03 and 0.2 < p["small"] < rate and rate < p[None] < 0.95
 
 
+def test_quality_scores_are_those_of_a_plain_model(spark):
+    r = random.Random(9)
+    docs = []
+    for i in range(400):
+        good = r.random() < (0.9 if i % 7 < 3 else 0.3)
+        text = words(r.randint(20, 60), i) + ("" if good else " " + "buy now ### " * r.randint(1, 12) + "\n" + "SAME LINE HERE\n" * r.randint(0, 4))
+        docs.append((i, text, f"p{i % 3}" if i % 11 else None, f"h{i % 7}" if i % 13 else None, int(good if r.random() < 0.9 else not good)))
+    docs += [(500, None, "p0", "new", 0), (501, "", "other", "h1", 1), (None, "no id here", "p1", "h2", 1)]
+    table = spark.createDataFrame([d[:4] for d in docs], "doc_id long, text string, lang string, source string").repartition(3)
+    marks = [(d[0], d[4]) for d in docs if d[0] is not None and d[0] < 350]
+    got = {x.doc_id: x for x in quality_model.query(table, spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    learned = {d for d, _ in marks if zlib.crc32(str(d).encode()) % 5}
+    sites, hosts, rate = brute.site_posteriors([(d[3], d[2], d[4]) for d in docs if d[0] in learned])
+    x = np.array([brute.quality_features(d[1]) for d in docs])
+    y = np.array([d[4] for d in docs], float)
+    use = np.array([d[0] in learned for d in docs])
+    w, mean, scale = quality_model.logistic(x[use], y[use])
+    own = (x - mean) / scale @ w[:-1] + w[-1]
+    for d, z in zip(docs, own, strict=True):
+        site = sites.get((d[3], d[2]), hosts.get(d[3], rate))
+        want = 1 / (1 + math.exp(-(z + math.log(site / (1 - site)) - math.log(rate / (1 - rate)))))
+        assert abs(got[d[0]].posterior - site) < 1e-9 and abs(got[d[0]].score - want) < 1e-6
+        assert got[d[0]].held_out == (d[0] is not None and zlib.crc32(str(d[0]).encode()) % 5 == 0)
+
+
 # ---- all ----
 
 
