@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POLICIES = ("independent", "marginal", "refine", "beam", "exact")
+#: Plans by whole groups: one scheme for all, by exclusive bytes, and the better of two such by their exact cost.
+GROUP_POLICIES = ("pure", "exclusive", "best_of_two")
 #: Partial plans that the beam keeps.
 BEAM = 16
 #: Choices that the exact plan walks at most.
@@ -45,6 +47,47 @@ class Instance:
             pick.append(best)
         return pick
 
+    def _kinds(self) -> list[str]:
+        """Schemes besides each object's first, which is what it has anyway."""
+        return sorted({s[0] for schemes in self.objects for s in schemes[1:]})
+
+    def of_kind(self, kind: str) -> list[int]:
+        """One scheme where an object has it; objects go back to their first, in order, where that costs the group no more."""
+        pick = [next((i for i, s in enumerate(schemes) if s[0] == kind), 0) for schemes in self.objects]
+        for o, i in enumerate(pick):
+            if i and self.cost([*pick[:o], 0, *pick[o + 1 :]]) <= self.cost(pick):
+                pick[o] = 0
+        return pick
+
+    def pure(self) -> list[int]:
+        """The cheapest of the plans of one scheme, or everything as it is."""
+        return min([[0] * len(self.objects), *map(self.of_kind, self._kinds())], key=self.cost)
+
+    def best_of_two(self) -> list[int]:
+        """The cheaper of the first two schemes' plans, or everything as it is, by the exact cost of the group."""
+        return min([[0] * len(self.objects), *map(self.of_kind, self._kinds()[:2])], key=self.cost)
+
+    def exclusive(self) -> list[int]:
+        """One scheme for all its members if it saves by a rule that sees only bytes that one object holds alone.
+
+        The rule takes from a member's gain what others share with it, so its plan may cost more than the start; the plan's cost
+        is the exact one.
+        """
+        held: dict[str, int] = {}
+        for schemes in self.objects:
+            for c in schemes[0][2]:
+                held[c] = held.get(c, 0) + 1
+        best, pick = 0, [0] * len(self.objects)
+        for kind in self._kinds():
+            plan = [next((i for i, s in enumerate(schemes) if s[0] == kind), 0) for schemes in self.objects]
+            members = [schemes for schemes, i in zip(self.objects, plan, strict=True) if i]
+            freed = sum(n for schemes in members for c, n in schemes[0][2].items() if held[c] == 1)
+            parts = {c: n for schemes, i in zip(self.objects, plan, strict=True) if i for c, n in schemes[i][2].items()}
+            gain = freed - sum(parts.values())
+            if gain > best:
+                best, pick = gain, plan
+        return pick
+
     def refine(self) -> list[int]:
         """Single swaps from the marginal plan while any lowers the cost."""
         pick = self.marginal()

@@ -32,3 +32,28 @@ def dag_independent_cost(spark, d):
     """What objects cost apart, before any sharing."""
     c = _candidates(spark, d).withColumn("w", F.col("read") + F.aggregate("components", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
     return c.groupBy("inst", "obj").agg(F.min("w").alias("w")).groupBy("inst").agg(F.sum("w").alias("alone"))
+
+
+_STEPS = ["m0 AS (SELECT DISTINCT inst, 0 AS mask, 0::BIGINT AS read FROM cand)"]
+for _k in range(1, 8):
+    _STEPS.append(f"m{_k} AS (SELECT m.inst, m.mask | coalesce(c.mask, 0) AS mask, min(m.read + coalesce(c.read, 0)) AS read FROM m{_k - 1} m LEFT JOIN cand c ON c.inst = m.inst AND c.obj = {_k} GROUP BY 1, 2)")
+
+
+@register(
+    "dag_exact_cost",
+    """WITH cand AS (SELECT inst, obj, scheme, read, list_reduce(list_prepend(0, list_transform(list_slice(list_sort(list_distinct(cs)), 1, 3), lambda x: 1 << x)), lambda a, b: a | b)::INT AS mask
+FROM (SELECT l_suppkey::VARCHAR AS inst, l_linenumber AS obj, l_returnflag AS scheme, min(l_quantity::BIGINT) AS read, list((l_partkey % 8)::INT) AS cs FROM lineitem GROUP BY 1, 2, 3)),
+"""
+    + ",\n".join(_STEPS)
+    + "\nSELECT inst, min(read + list_sum(list_transform(range(0, 8), lambda i: CASE WHEN (mask >> i::INT) & 1 = 1 THEN 10 + 5 * i ELSE 0 END)))::BIGINT AS cost FROM m7 GROUP BY 1",
+)
+def dag_exact_cost(spark, d):
+    """The least cost of a supplier's lines over all choices of schemes."""
+    return sel.planned(_candidates(spark, d), ("exact",)).select("inst", "cost")
+
+
+@register("group_plans", "SELECT DISTINCT l_suppkey::VARCHAR AS inst, true AS ordered FROM lineitem")
+def group_plans(spark, d):
+    """By exact cost: the best pure plan is no dearer than the best of two, and the exact plan than any."""
+    p = sel.planned(_candidates(spark, d), ("exact", *sel.GROUP_POLICIES)).groupBy("inst").pivot("policy", ["exact", *sel.GROUP_POLICIES]).agg(F.max("cost"))
+    return p.select("inst", ((F.col("exact") <= F.col("pure")) & (F.col("pure") <= F.col("best_of_two")) & (F.col("exact") <= F.col("exclusive"))).alias("ordered"))

@@ -163,3 +163,17 @@ def test_scatter(spark):
     rows = [([1.0, 2.0, 3.0], [True, False, True, None, True]), ([], [False]), ([5.0], []), ([1.0], [True, True])]
     got = spark.createDataFrame(rows, "v array<double>, m array<boolean>").select(derive.scatter(F.col("v"), F.col("m")).alias("s")).collect()
     assert [r.s for r in got] == [[1.0, None, 2.0, None, 3.0], [None], [], [1.0, None]]
+
+
+def test_group_plans():
+    from granary.operators.selection import Instance
+
+    # two objects share a chunk, so giving it up frees nothing until both do
+    raw = [("a", 0, {"x": 100, "p": 10}), ("a", 0, {"x": 100, "q": 10}), ("a", 0, {"r": 50})]
+    delta = [("b", 0, {"d1": 40}), ("b", 0, {"d2": 40}), ("b", 0, {"d3": 80})]
+    case = Instance([[raw[i], delta[i]] for i in range(3)])
+    assert case.cost([0, 0, 0]) == 170 and case.of_kind("b") == [1, 1, 0] and case.cost(case.pure()) == 130
+    assert case.exclusive() == [0, 0, 0]  # frees 70 by its rule and adds 160
+    assert case.marginal() == [1, 1, 0] and case.exact() == [1, 1, 0] and case.best_of_two() == [1, 1, 0]
+    alone = Instance([[("a", 0, {"x": 90}), ("c", 0, {"z": 30})], [("a", 0, {"y": 90}), ("c", 0, {"z": 30})]])
+    assert alone.exclusive() == [1, 1] and alone.cost(alone.exclusive()) == 30
