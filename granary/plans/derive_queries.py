@@ -283,3 +283,28 @@ def parquet_page_walk(spark, d):
 
     pages = readers.read(spark, "parquet_pages", f"{d}/nation.parquet")
     return pages.filter("kind LIKE 'data%' AND column IN ('n_nationkey', 'n_name', 'n_regionkey')").groupBy("column").agg(F.sum("n").alias("n"))
+
+
+@register("derivation_steps", "SELECT vec_id, true AS exact FROM embeddings WHERE embedding IS NOT NULL")
+def derivation_steps(spark, d):
+    """Vectors as bytes through steps and back: swapped twice, turned and turned back, and each once by a step that undoes the other."""
+    from granary.functions import derivations
+
+    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+
+    def packed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [np.array(x, "<f4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[r, r[:8]] for r in rows], pa.list_(pa.binary())), pa.array(rows, pa.binary())], names=["vec_id", "inputs", "want"])
+
+    held = e.select("vec_id", "embedding").mapInArrow(packed, f"vec_id {e.schema['vec_id'].dataType.simpleString()}, inputs array<binary>, want binary")
+    n = F.octet_length("want")
+    sizes = [r.n for r in held.select(n.alias("n")).distinct().limit(2).collect()]
+    width = sizes[0] // 4
+    steps = [{"kind": "concat"}, {"kind": "slice", "offset": 0, "length": sizes[0]}, {"kind": "bswap", "width": 4}, {"kind": "perm", "width": 4, "dims": [2, width // 2], "axes": [1, 0]},
+             {"kind": "perm", "width": 4, "dims": [width // 2, 2], "axes": [1, 0]}, {"kind": "gather", "width": 4, "index": list(range(width))[::-1]}, {"kind": "gather", "width": 4, "index": list(range(width))[::-1]}, {"kind": "bswap", "width": 4}]
+    made = derivations.derived(held, steps, "vec_id")
+    return made.join(held.select("vec_id", "want"), "vec_id").select("vec_id", (F.col("body") == F.col("want")).alias("exact"))

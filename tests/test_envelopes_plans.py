@@ -177,3 +177,54 @@ def test_group_plans():
     assert case.marginal() == [1, 1, 0] and case.exact() == [1, 1, 0] and case.best_of_two() == [1, 1, 0]
     alone = Instance([[("a", 0, {"x": 90}), ("c", 0, {"z": 30})], [("a", 0, {"y": 90}), ("c", 0, {"z": 30})]])
     assert alone.exclusive() == [1, 1] and alone.cost(alone.exclusive()) == 30
+
+
+def test_derivation_steps():
+    from granary.functions import derivations as dv
+
+    x = np.arange(64, dtype="<f4") - 20.5
+    raw = x.tobytes()
+    back = [{"kind": "perm", "width": 4, "dims": [2, 4, 8], "axes": [2, 0, 1]}, {"kind": "perm", "width": 4, "dims": [8, 2, 4], "axes": [1, 2, 0]}, {"kind": "bswap", "width": 4}, {"kind": "bswap", "width": 4}]
+    assert dv.applied(back, [raw]) == raw
+    assert np.array_equal(np.frombuffer(dv.applied(back[:1], [raw]), "<f4").reshape(8, 2, 4), x.reshape(2, 4, 8).transpose(2, 0, 1))
+    assert dv.applied([{"kind": "concat"}, {"kind": "prepend", "literal": b"h"}, {"kind": "slice", "offset": 1, "length": 3}], [b"ab", b"cd"]) == b"abc"
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert dv.applied([{"kind": "inflate"}], [z.compress(raw) + z.flush()]) == raw
+    plain = b"".join(len(v).to_bytes(4, "little") + v for v in (b"xy", b"", b"abc"))
+    assert np.frombuffer(dv.applied([{"kind": "plain_offsets"}], [plain]), "<i4").tolist() == [0, 2, 2, 5] and dv.applied([{"kind": "plain_data"}], [plain]) == b"xyabc"
+    assert dv.scattered(b"aabbcc", bytes([0b1011]), 2, 5) == b"aabb\0\0cc\0\0"
+    assert np.frombuffer(dv.converted(x.tobytes(), "f4", "f2"), "<f2").tolist() == x.astype("f2").tolist()
+    assert np.frombuffer(dv.converted(dv.converted(np.float32([1.0, -2.5]).tobytes(), "f4", "bf16"), "bf16", "f4"), "<f4").tolist() == [1.0, -2.5]
+    for bad in ([{"kind": "slice", "offset": 2, "length": 9}], [{"kind": "no"}], [{"kind": "bswap", "width": 3}]):
+        with pytest.raises(ValueError):
+            dv.applied(bad, [b"abcd"])
+
+
+def test_quantised_blocks():
+    from granary.functions import derivations as dv
+
+    pick = np.random.default_rng(4)
+    x = np.concatenate([pick.normal(size=(5, 32)), np.zeros((1, 32)), np.full((1, 32), -3.0)]).astype("<f4")
+    for made, size, of in ((dv.q8_0(x.tobytes()), 34, 127), (dv.q4_0(x.tobytes()), 18, 8)):
+        assert len(made) == size * len(x)
+        for row, block in zip(x, np.frombuffer(made, np.uint8).reshape(-1, size), strict=True):
+            d = np.frombuffer(block[:2].tobytes(), "<f2")[0].astype(np.float32)
+            q = block[2:].view(np.int8).astype(int) if size == 34 else np.r_[block[2:] & 15, block[2:] >> 4].astype(int) - 8
+            assert np.abs(q).max() in (0, of) and np.abs(row - d * q).max() <= abs(d) * (0.51 if size == 34 else 1.01) + 1e-6
+
+
+@pytest.mark.parametrize("kind", ["key", "sub", "xor"])
+def test_residuals_are_exact(kind):
+    from granary.functions import derivations as dv
+
+    pick = np.random.default_rng(5)
+    for dtype in (np.float16, np.float32, np.float64):
+        base = np.r_[pick.normal(size=500), 0.0, -0.0, np.inf, -np.inf, np.nan, 1e-7].astype(dtype)
+        target = np.r_[base[:250] * dtype(1.01), base[250:][::-1]].astype(dtype)
+        for a, c in ((1.0, 0.0), (1.01, 0.5)):
+            with np.errstate(all="ignore"):
+                held = dv.residual(kind, base, target, a, c)
+                assert dv.restored(kind, base, held, a, c).tobytes() == target.tobytes()
+        near = dv.residual(kind, base[:250], (base[:250] * dtype(1.001)).astype(dtype))
+        far = dv.residual(kind, base[:250], base[:250][::-1].copy())
+        assert np.median(near.astype(float)) < np.median(far.astype(float))
