@@ -20,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def place(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; what is there goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what is there can be marked
+    fs.deleteOnExit(at)
+    return f"{path}/rows"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, read again; a folder of its own only where none is set.
 
@@ -27,10 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
     has neither fault. The table goes with :func:`dropped`, or when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
+    path = place(spark)
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -228,3 +229,21 @@ def test_residuals_are_exact(kind):
         near = dv.residual(kind, base[:250], (base[:250] * dtype(1.001)).astype(dtype))
         far = dv.residual(kind, base[:250], base[:250][::-1].copy())
         assert np.median(near.astype(float)) < np.median(far.astype(float))
+
+
+def test_descriptors_are_strict(spark, tmp_path):
+    from granary.sources import tables
+
+    def put(name: str, *lines: str) -> str:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text("\n".join(lines))
+        return str(tmp_path / name)
+
+    good = '{"manifest_format_version":1,"version_id":"v","chunks":[{"sha256":"a","length":3},{"sha256":"b","length":0},{"sha256":"a","length":3}]}'
+    refs = tables.chunk_refs(tables.manifests(spark, put("good", good))).collect()
+    assert [(r.ord, r.sha, r.length, r.start) for r in sorted(refs, key=lambda r: r.ord)] == [(0, "a", 3, 0), (1, "b", 0, 3), (2, "a", 3, 3)]
+    for name, line in (("other", good.replace(":1,", ":2,", 1)), ("none", '{"version_id":"v","chunks":[]}'), ("broken", good[:-5])):
+        with pytest.raises(Exception):
+            tables.manifests(spark, put(name, good, line)).collect()
+    frontier = put("frontier", *(json.dumps({"object": f"o{k}", "day": k % 3, "size": k, "key": "k"}) for k in range(4)))
+    assert {(r.object, r.stage) for r in tables.series(tables.frontier(spark, frontier)).collect()} == {("o0", 0), ("o3", 1), ("o1", 2), ("o2", 3)}
