@@ -23,9 +23,10 @@ def reassemble_prove(spark, d):
     docs = table(spark, d, "documents").filter("text <> ''")
     at = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 200).cast("int"))
     parts = docs.select(F.col("doc_id").alias("version_id"), F.posexplode(F.transform(at, lambda i: F.substring("text", i * 200 + 1, F.lit(200)))).alias("ord", "payload"))
-    first = F.concat(F.col("version_id").cast("string"), F.lit("/"), F.col("payload"))
-    parts = parts.withColumn("sha", F.sha2(F.when(F.col("version_id") % 40 == 0, first).otherwise(F.col("payload")), 256))
-    stored = parts.filter("version_id % 40 <> 0 OR ord > 0").groupBy("sha").agg(F.first("payload").alias("payload"))
+    lost = (F.col("version_id") % 40 == 0) & (F.col("ord") == 0)
+    # the lost piece's address is no digest, so no equal piece, of this text or another, stands in for it
+    parts = parts.withColumn("sha", F.when(lost, F.concat(F.lit("lost/"), F.col("version_id").cast("string"))).otherwise(F.sha2("payload", 256)))
+    stored = parts.filter(~lost).groupBy("sha").agg(F.first("payload").alias("payload"))
     want = docs.select(F.col("doc_id").alias("version_id"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
     return dv.proved(dv.reassembled(parts.select("version_id", "ord", "sha"), stored), want)
 
