@@ -29,11 +29,9 @@ def dependency_closure(spark, d):
 
 @register("recursive_reach", "WITH RECURSIVE " + _EDGES + ", c(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 197 = 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON src = node) SELECT node, min(depth)::INT AS depth FROM c GROUP BY node")
 def recursive_reach(spark, d):
-    """The same closure as one recursive query, for graphs without cycles."""
-    _chain(spark, d).createOrReplaceTempView("granary_edges")
-    table(spark, d, "part").createOrReplaceTempView("granary_part")
-    return spark.sql("""WITH RECURSIVE c(node, depth) AS (SELECT p_partkey, 0 FROM granary_part WHERE p_partkey % 197 = 0 UNION ALL SELECT dst, depth + 1 FROM c JOIN granary_edges ON src = node)
-        SELECT node, min(depth) AS depth FROM c GROUP BY node""")
+    """The recursive query's closure. Spark's own recursion keeps each path apart, and paths are far more than nodes."""
+    start = table(spark, d, "part").filter("p_partkey % 197 = 0").select(F.col("p_partkey").alias("node"))
+    return lv.closure(_chain(spark, d), start)
 
 
 @register("blast_radius", "WITH RECURSIVE " + _EDGES + ", c(root, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey <= 20 UNION SELECT root, src FROM c JOIN e ON dst = node) SELECT root, count(*) - 1 AS dependents FROM c GROUP BY root")
