@@ -156,34 +156,41 @@ def union_totals(needed: DataFrame, stored: DataFrame, record: int = 36) -> Data
     return per.agg(total(F.col("bytes"), "now"), total(after_gc, "after_gc"), total(after_repack, "after_repack"), total(F.col("live"), "live"), total(record * F.col("live_n"), "records"))
 
 
+#: Ticks of the replay that are handed on at once.
+TICKS_AT_ONCE = 1 << 16
+
+
 def replayed(events: DataFrame, key: str = "key", every: int = 7, last: int = 3) -> DataFrame:
     """(key, day, live, dead, collected) at each tick of a lineage (key, day, seq, bytes): arrivals are kept, the one ``last`` before goes, every second tick collects.
 
-    State is a few numbers; lineages run apart and in order.
+    Lineages run apart and in order. A state is sums up to two arrivals, so ticks are made some at a time, however many a lineage has.
     """
     held = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "seq", "bytes"))).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for k, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kept: list[int] = []
-                dead = collected = n = 0
-                first = found[0]["day"]
-                at = 0
-                for tick in range(first + every, found[-1]["day"] + every + 1, every):
-                    while at < len(found) and found[at]["day"] < tick:
-                        kept.append(found[at]["bytes"])
-                        if len(kept) > last:
-                            dead += kept.pop(0)
-                        at += 1
-                    n += 1
-                    if n % 2 == 0:
-                        collected += dead
-                        dead = 0
-                    rows.append((k, tick, sum(kept), dead, collected))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[key, "day", "live", "dead", "collected"])
+            lists, found = b.column(1), b.column(1).flatten()
+            day, size = (found.field(name).to_numpy() for name in ("day", "bytes"))
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(n) - n
+            first = day[start]
+            ticks = (day[start + n - 1] - first) // every + 1
+            place = np.cumsum(ticks) - ticks
+            tick = np.repeat(place, n) + (day - np.repeat(first, n)) // every  # the first one after each arrival
+            total = np.concatenate([[0], np.cumsum(size)])
+            for at in range(0, int(ticks.sum()), TICKS_AT_ONCE):
+                t = np.arange(at, min(at + TICKS_AT_ONCE, int(ticks.sum())))
+                of = np.searchsorted(place, t, "right") - 1
+                nth = t - place[of] + 1
+                begin = start[of]
+
+                def gone(come: np.ndarray, begin=begin) -> np.ndarray:
+                    return total[np.maximum(come - last, begin)] - total[begin]  # noqa: B023
+
+                come = np.searchsorted(tick, t, "right")
+                lost, swept = gone(come), gone(np.searchsorted(tick, t - nth % 2, "right"))  # before a lineage's first tick nothing is gone
+                cols = [b.column(0).take(pa.array(of)), *(pa.array(c) for c in (first[of] + nth * every, total[come] - total[begin] - lost, lost - swept, swept))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "day", "live", "dead", "collected"])
 
     return held.mapInArrow(run, f"{key} bigint, day bigint, live bigint, dead bigint, collected bigint")
 

@@ -129,8 +129,9 @@ def event_replay(spark, d):
 def replay_arrivals(spark, d):
     """What the replay must end with: bytes arrived, and those of the last three, from its own last tick."""
     r = event_replay(spark, d)
-    end = r.groupBy("key").agg(F.max_by(F.struct("live", "dead", "collected"), "day").alias("e"))
-    return end.select("key", (F.col("e.live") + F.col("e.dead") + F.col("e.collected")).alias("arrived"), F.col("e.live").alias("live"))
+    # numbers apart, not a struct: those are aggregated by hash, without a sort of all ticks
+    end = r.groupBy("key").agg(*[F.max_by(c, "day").alias(c) for c in ("live", "dead", "collected")])
+    return end.select("key", (F.col("live") + F.col("dead") + F.col("collected")).alias("arrived"), "live")
 
 
 @register("posting_compaction", "SELECT feature, id FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY id DESC) AS rn FROM (SELECT DISTINCT l_partkey AS feature, l_orderkey AS id FROM lineitem WHERE l_orderkey % 9 <> 0)) WHERE rn <= 8")
