@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import itemgetter, or_
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,48 +28,54 @@ def _overlap(a: list, b: list) -> float:
     return sum(x in held for x in b) / len(b) if held and b else 0.0
 
 
-class View(NamedTuple):
-    """What a policy sees at a stage: costs of its candidates, the plain one's place, samples of each scheme's last copy."""
+class Stage(NamedTuple):
+    """What policies see at a stage, whatever was admitted before: the plain candidate's place, how far each candidate's sample is like its scheme's last one (None: there is none), and each one's bytes to come next to the plain one's."""
 
     at: int
-    hinted: bool
-    stage: list
-    cost: list[int]
     plain: int
-    samples: dict[str, list]
+    alike: list[float | None]
+    ahead: list[float]
 
-    def cheap(self, i: int) -> tuple:
-        return self.cost[i], i != self.plain, i
 
-    def alike(self, i: int, default: float = 0.0) -> float:
-        name, _, sample = self.stage[i]
-        return _overlap(self.samples[name], sample) if self.samples.get(name) else default
+def _greedy(s: Stage, cost: list[int]) -> int:
+    return min(range(len(cost)), key=lambda i: (cost[i], i != s.plain, i))
 
-    def to_come(self, i: int) -> float:
-        """Bytes of the next copy in this scheme, as far as it isn't like the last."""
-        return sum(n + OBJECT_OVERHEAD for n in self.stage[i][1].values()) * (1 - self.alike(i, PLAIN_OVERLAP if i == self.plain else REUSE))
 
+def _premium(s: Stage, cost: list[int]) -> int:
+    most = PREMIUM * cost[s.plain]
+    near = [(c, i) for i, c in enumerate(cost) if i != s.plain and c <= most]
+    return min(near)[1] if near else _greedy(s, cost)
 
-def _greedy(v: View, i: int) -> tuple:
-    return (1, *v.cheap(i))
 
+def _late(s: Stage, cost: list[int]) -> int:
+    if s.at:
+        most = LATE_PREMIUM * cost[s.plain]
+        for i, c in enumerate(cost):
+            if i != s.plain and (s.alike[i] or 0.0) >= LATE_OVERLAP and c <= most:
+                return i
+    return _greedy(s, cost)
 
-def _premium(v: View, i: int) -> tuple:
-    return (0, v.cost[i], i) if i != v.plain and v.cost[i] <= PREMIUM * v.cost[v.plain] else _greedy(v, i)
 
+def _expected(s: Stage, cost: list[int]) -> int:
+    return min(range(len(cost)), key=lambda i: (cost[i] + s.ahead[i], i != s.plain, i))
 
-def _late(v: View, i: int) -> tuple:
-    taken = v.at and i != v.plain and v.alike(i) >= LATE_OVERLAP and v.cost[i] <= LATE_PREMIUM * v.cost[v.plain]
-    return (0, i) if taken else _greedy(v, i)
 
+#: Policy -> place of the candidate admitted at a stage of these costs.
+PICKS: dict[str, Callable[[Stage, list[int]], int]] = {"greedy": _greedy, "premium-cap": _premium, "late-bootstrap": _late, "expected-value": _expected}
 
-def _expected(v: View, i: int) -> tuple:
-    again = HINTED if v.at and v.hinted else UNHINTED
-    return v.cost[i] + again * (v.to_come(i) - v.to_come(v.plain)), i != v.plain, i
+#: Objects as bits of a number, by what each weighs.
+Weights = list[tuple[float, int]]
 
 
-#: Policy -> score of a candidate at a stage; the least is admitted.
-SCORES: dict[str, Callable[[View, int], tuple]] = {"greedy": _greedy, "premium-cap": _premium, "late-bootstrap": _late, "expected-value": _expected}
+def _weigh(weights: Weights, left: int) -> float:
+    return sum(w * (m & left).bit_count() for w, m in weights)
+
+
+def _by_weight(pairs: Iterable[tuple[float, int]]) -> Weights:
+    out: dict = {}
+    for w, bit in pairs:
+        out[w] = out.get(w, 0) | bit
+    return list(out.items())
 
 
 class Case:
@@ -74,98 +83,262 @@ class Case:
 
     def __init__(self, stages: list[list[tuple[str, dict, list]]], hinted: bool):
         self.stages, self.hinted = stages, hinted
-        self.plain = [next(i for i, c in enumerate(stage) if c[0] == PLAIN) for stage in stages]
-        #: Objects that a stage or a later one may still use.
-        self.used = [frozenset()]
-        for stage in reversed(stages):
-            self.used.insert(0, self.used[0].union(*(c[1] for c in stage)))
+        bits: dict = {}
+        for stage in stages:
+            for _, objects, _ in stage:
+                for o in objects:
+                    bits.setdefault(o, 1 << len(bits))
+        #: Of each stage's candidates: objects as bits, and what they weigh with their records.
+        self.weights = [[_by_weight((n + OBJECT_OVERHEAD, bits[o]) for o, n in objects.items()) for _, objects, _ in stage] for stage in stages]
+        self.masks = [[sum(m for _, m in w) for w in stage] for stage in self.weights]
+        self.bits = bits
+        self.seen = []
+        samples: dict[str, list] = {}
+        for at, stage in enumerate(stages):
+            plain = next(i for i, c in enumerate(stage) if c[0] == PLAIN)
+            alike = [_overlap(samples[name], sample) if samples.get(name) else None for name, _, sample in stage]
+            come = [_weigh(w, -1) * (1 - (x if x is not None else PLAIN_OVERLAP if i == plain else REUSE)) for i, (w, x) in enumerate(zip(self.weights[at], alike, strict=True))]
+            again = HINTED if at and hinted else UNHINTED
+            self.seen.append(Stage(at, plain, alike, [again * (x - come[plain]) for x in come]))
+            samples |= {name: sample[:64] for name, _, sample in stage}
 
     @staticmethod
     def cost(candidate: tuple[str, dict, list], have: frozenset) -> int:
         return sum(n + OBJECT_OVERHEAD for o, n in candidate[1].items() if o not in have)
 
-    def forward(self, at: int, upto: int, have: frozenset, width: int | None = None, most: float = math.inf) -> list[tuple[int, tuple[int, ...]]]:
-        """(cost, choices) of the plans over stages at .. upto, the cheapest first.
+    def costs(self, at: int, have: int) -> list[int]:
+        """What each candidate of a stage adds to the objects there are."""
+        left = ~have
+        return [sum([w * (m & left).bit_count() for w, m in weights]) for weights in self.weights[at]]
+
+    def ahead(self, at: int, depth: int, width: int, have: int) -> int:
+        """The candidate that the cheapest plan over this stage and ``depth`` more begins with; after each the cheapest ``width`` go on, earlier ones first."""
+        end = min(at + depth + 1, len(self.stages))
+        states = [(c, have | m, i) for i, (c, m) in enumerate(zip(self.costs(at, have), self.masks[at], strict=True))]
+        for k in range(at + 1, end):
+            if len(states) > 1:
+                states = sorted(states, key=itemgetter(0))[:width]
+            masks = self.masks[k]
+            states = [(spent + c, held | m, first) for spent, held, first in states for c, m in zip(self.costs(k, held), masks, strict=True)]
+        return min(states, key=itemgetter(0))[2]
 
-        Without a width, plans meet in a state, the objects admitted that later stages may use, and of those that meet the
-        cheapest goes on, unless it can't end at ``most``. With one, the cheapest so many plans go on, earlier ones first.
+    def best(self) -> tuple[int, ...]:
+        """The cheapest plan over all choices, of equal ones that of the earliest candidates."""
+        closed = self._closed()
+        return self._searched() if closed is None else closed
+
+    def _closed(self) -> tuple[int, ...] | None:
+        """The cheapest plan as a minimum cut, where each stage has its own copy first and at most one other candidate; else None.
+
+        Taking the other candidate saves the own copy and needs its objects, which cost once. The least set of stages that
+        saves most is what the source still reaches under a maximum flow from stages to their objects.
         """
-        states = [(have & self.used[at], 0, ())]
-        for k in range(at, upto):
-            grown: dict[tuple, tuple[frozenset, int, tuple[int, ...]]] = {}
-            for held, spent, path in states:
-                for i, c in enumerate(self.stages[k]):
-                    then, now, chosen = held.union(c[1]) & self.used[k + 1], spent + self.cost(c, held), (*path, i)
-                    key = chosen if width else (then,)
-                    if (key not in grown or (now, chosen) < grown[key][1:]) and (most == math.inf or now + self.least_left(k + 1, then) <= most + 1e-6):
-                        grown[key] = (then, now, chosen)
-            if not width and len(grown) > MOST_STATES:
+        if any(len(stage) > 2 for stage in self.stages):
+            return None
+        own = size = 0
+        weight: dict[float, int] = {}
+        for weights, masks in zip(self.weights, self.masks, strict=True):
+            if masks[0] & own:
+                return None
+            own |= masks[0]
+            for w, m in weights[1] if len(weights) > 1 else ():
+                weight[w] = weight.get(w, 0) | m
+                size |= m
+        if own & size or sum(m.bit_count() for m in weight.values()) != size.bit_count() or min([0, *weight, *(w for x in self.weights for w, _ in x[0])]) < 0:
+            return None  # an object of the own copies that others use, one of several sizes, or sizes below none
+        weights = list(weight.items())
+        saved = [_weigh(x[0], -1) for x in self.weights]
+        taken = have = 0
+        open_ = [k for k, x in enumerate(self.masks) if len(x) > 1]
+        more = True
+        while more:  # most stages are settled alone
+            more, left = False, ~have
+            once = twice = 0
+            for k in open_:
+                m = self.masks[k][1]
+                twice |= once & m
+                once |= m
+            rest = []
+            for k in open_:
+                m = self.masks[k][1]
+                if saved[k] > _weigh(weights, m & ~have):
+                    taken, have, more = taken | 1 << k, have | m, True
+                elif saved[k] <= _weigh(weights, m & left & ~twice):
+                    more = True
+                else:
+                    rest.append(k)
+            open_ = rest
+        for k in self._flow(open_, saved, weights, ~have) if open_ else ():
+            taken |= 1 << k
+        return tuple(taken >> k & 1 for k in range(len(self.stages)))
+
+    def _flow(self, stages: list[int], saved: list[int], weights: Weights, left: int) -> set[int]:
+        """Stages that the source reaches under a maximum flow from them to their objects that are left."""
+        room: dict[int, float] = {}
+        needs: dict[int, list[int]] = {}
+        for k in stages:
+            needs[k] = []
+            for w, m in weights:
+                m &= self.masks[k][1] & left
+                while m:
+                    bit = m & -m
+                    m ^= bit
+                    needs[k].append(bit)
+                    room[bit] = w
+        flow: dict[int, dict[int, float]] = {o: {} for o in room}
+        over: list[int] = []
+        for k in stages:
+            push = saved[k]
+            while push:
+                came: dict[int, tuple[int, int] | None] = {k: None}
+                queue, end = [k], 0
+                for u in queue:
+                    for o in needs[u]:
+                        if room[o]:
+                            end = o
+                            break
+                        for v, f in flow[o].items():
+                            if f and v not in came:
+                                came[v] = (u, o)
+                                queue.append(v)
+                    if end:
+                        break
+                if not end:
+                    over.append(k)
+                    break
+                n, x = min(push, room[end]), u
+                while came[x] is not None:
+                    up, o = came[x]
+                    n, x = min(n, flow[o][x]), up
+                room[end] -= n
+                flow[end][u] = flow[end].get(u, 0) + n
+                while came[u] is not None:
+                    up, o = came[u]
+                    flow[o][u] -= n
+                    flow[o][up] = flow[o].get(up, 0) + n
+                    u = up
+                push -= n
+        reached = set(over)
+        for u in over:  # grows
+            for o in needs[u]:
+                for v, f in flow[o].items():
+                    if f and v not in reached:
+                        reached.add(v)
+                        over.append(v)
+        return reached
+
+    def _searched(self) -> tuple[int, ...]:
+        """The cheapest plan forward over all stages; refuses to guess beyond its bound of states.
+
+        Plans meet in a state, the objects admitted that later stages may use; of those that meet the cheapest goes on, unless
+        it can't end at what the best policy costs.
+        """
+        most = min(sum(cost for _, cost in self.run(p)) for p in (*PICKS, *LOOKAHEAD))
+        most += 1e-6 + 1e-9 * abs(most)
+        used = [0]
+        for masks in reversed(self.masks):
+            used.insert(0, reduce(or_, masks, used[0]))
+        states: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}
+        for k in range(len(self.stages)):
+            shares = self._shares(k + 1)
+            grown: dict[int, tuple[int, tuple[int, ...]]] = {}
+            for held, (spent, path) in states.items():
+                for i, (c, m) in enumerate(zip(self.costs(k, held), self.masks[k], strict=True)):
+                    then, new = (held | m) & used[k + 1], (spent + c, (*path, i))
+                    if then not in grown or new < grown[then]:
+                        if new[0] + sum(min(_weigh(w, ~then) for w in stage) for stage in shares) <= most:
+                            grown[then] = new
+            if len(grown) > MOST_STATES:
                 raise ValueError("more states than the exact plan allows")
-            states = sorted(grown.values(), key=lambda x: x[1])[:width]
-        return [(cost, path) for _, cost, path in states]
+            states = grown
+        return states[0][1]
 
-    def least_left(self, at: int, held: frozenset) -> float:
-        """No plan from a stage on costs less: an object's cost is shared out over all stages that may still use it."""
+    def _shares(self, at: int) -> list[list[Weights]]:
+        """No plan from a stage on costs less than its candidates of these weights: an object's cost is shared out over all stages that may still use it."""
         size: dict = {}
         uses: dict = {}
         for stage in self.stages[at:]:
             for o in set().union(*(c[1] for c in stage)):
                 size[o] = min([size.get(o, math.inf), *(c[1][o] for c in stage if o in c[1])])
                 uses[o] = uses.get(o, 0) + 1
-        return sum(min(sum((size[o] + OBJECT_OVERHEAD) / uses[o] for o in c[1] if o not in held) for c in stage) for stage in self.stages[at:])
-
-    def best(self) -> tuple[int, ...]:
-        """The cheapest plan over all choices; refuses to guess beyond its bound of states."""
-        most = sum(cost for _, cost in self.run("greedy"))
-        return self.forward(0, len(self.stages), frozenset(), most=most)[0][1]
+        return [[_by_weight(((size[o] + OBJECT_OVERHEAD) / uses[o], self.bits[o]) for o in c[1]) for c in stage] for stage in self.stages[at:]]
 
     def run(self, policy: str) -> list[tuple[str, int]]:
         """(chosen, cost) by stage."""
-        have: frozenset = frozenset()
-        samples: dict[str, list] = {}
+        have = 0
         out = []
         plan = self.best() if policy == "oracle" else None
         for at, stage in enumerate(self.stages):
-            view = View(at, self.hinted, stage, [self.cost(c, have) for c in stage], self.plain[at], samples)
+            cost = self.costs(at, have)
             if plan is not None:
                 pick = plan[at]
             elif policy in LOOKAHEAD:
-                depth, width = LOOKAHEAD[policy]
-                pick = self.forward(at, min(at + depth + 1, len(self.stages)), have, width)[0][1][0]
+                pick = self.ahead(at, *LOOKAHEAD[policy], have)
             else:
-                pick = min(range(len(stage)), key=lambda i: SCORES[policy](view, i))  # noqa: B023
-            out.append((stage[pick][0], view.cost[pick]))
-            have = have.union(stage[pick][1])
-            samples |= {name: sample[:64] for name, _, sample in stage}
+                pick = PICKS[policy](self.seen[at], cost)
+            out.append((stage[pick][0], cost[pick]))
+            have |= self.masks[at][pick]
         return out
 
 
 POLICIES = ("greedy", "premium-cap", "late-bootstrap", "expected-value", "one-step", "beam", "oracle")
+#: Cases that are read and planned at once.
+CASES_AT_ONCE = 500
+
 
+def _cases(b: pa.RecordBatch) -> Iterator[Case]:
+    """The cases of a batch (case, hinted, all), read by column."""
 
-def admission(candidates: DataFrame, policies: tuple[str, ...] = POLICIES) -> DataFrame:
+    def lists(x: pa.Array) -> tuple[list[int], pa.Array]:
+        return [0, *x.value_lengths().to_numpy().cumsum().tolist()], x.flatten()
+
+    ends, found = lists(b.column(2))
+    stage, name = (found.field(c).to_pylist() for c in ("stage", "name"))
+    held, objects = lists(found.field("objects"))
+    ids, sizes = (objects.field(c).to_pylist() for c in ("id", "size"))
+    samples, sample = lists(found.field("sample"))
+    sample = sample.to_pylist()
+    for hinted, begin, end in zip(b.column(1).to_pylist(), ends, ends[1:], strict=False):
+        stages: dict[int, list] = {}
+        for i in range(begin, end):
+            u, v = held[i], held[i + 1]
+            stages.setdefault(stage[i], []).append((name[i], dict(zip(ids[u:v], sizes[u:v], strict=True)), sample[samples[i] : samples[i + 1]]))
+        yield Case(list(stages.values()), bool(hinted))
+
+
+def admission(candidates: DataFrame, policies: tuple[str, ...] = POLICIES, dealt: bool = False) -> DataFrame:
     """(case, policy, stage, chosen, cost) of candidates (case, hinted, stage, rank, name, objects array<struct<id, size>>, sample array<string>).
 
-    A stage sees what earlier stages admitted, so a case is sequential; cases run apart, a row each.
+    A stage sees what earlier stages admitted, so a case is sequential; cases run apart, a row each. ``dealt``: candidates are
+    in a fixed number of partitions by case already.
     """
 
     # cases are few bytes and much work: their number of partitions is fixed, so that it isn't coalesced by size
-    dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case")
-    held = dealt.groupBy("case").agg(F.max("hinted").alias("hinted"), F.array_sort(F.collect_list(F.struct("stage", "rank", "name", "objects", "sample"))).alias("all"))
+    if not dealt:
+        candidates = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case")
+    held = candidates.groupBy("case").agg(F.max("hinted").alias("hinted"), F.array_sort(F.collect_list(F.struct("stage", "rank", "name", "objects", "sample"))).alias("all"))
     names = ["case", "policy", "stage", "chosen", "cost"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for name, hinted, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                stages: dict[int, list] = {}
-                for c in found:
-                    stages.setdefault(c["stage"], []).append((c["name"], {o["id"]: o["size"] for o in c["objects"]}, c["sample"]))
-                case = Case(list(stages.values()), bool(hinted))
-                rows += [(name, p, s, chosen, cost) for p in policies for s, (chosen, cost) in enumerate(case.run(p))]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CASES_AT_ONCE):
+                b = whole.slice(at, CASES_AT_ONCE)
+                size: list[int] = []
+                out: list[tuple[str, int]] = []
+                for case in _cases(b):
+                    size.append(len(case.stages))
+                    for p in policies:
+                        out += case.run(p)
+                n = np.repeat(size, len(policies))  # rows of each case and policy
+                begin = np.repeat(np.cumsum(n) - n, n)
+                cols = (
+                    b.column(0).take(pa.array(np.repeat(np.arange(len(size)), np.array(size) * len(policies)))),
+                    pa.array(policies, pa.string()).take(pa.array(np.repeat(np.tile(np.arange(len(policies)), len(size)), n))),
+                    pa.array(np.arange(len(out)) - begin, pa.int32()),
+                    pa.array([x for x, _ in out], pa.string()),
+                    pa.array([x for _, x in out], pa.int64()),
+                )
+                yield pa.RecordBatch.from_arrays(list(cols), names=names)
 
     return held.mapInArrow(fold, "case string, policy string, stage int, chosen string, cost bigint")
 

@@ -198,15 +198,20 @@ def churn_reasons(spark, d):
 @register("admission_policies")
 def admission_policies(spark, d):
     """A customer's orders are stages; line items are objects, whole or as one plain copy; all policies, exact plan included."""
-    r = px.refs(spark, d).join(px.versions(spark, d).select("version_id", "key", "ts"), "version_id")
-    stage = F.dense_rank().over(Window.partitionBy("key").orderBy("ts", "version_id")) - 1
-    r = r.withColumn("stage", stage)
-    items = F.array_sort(F.collect_set(F.struct((F.col("sha") % 40).cast("string").alias("id"), F.lit(100).cast("long").alias("size"))))
-    rep = r.groupBy("key", "stage").agg(items.alias("objects"), F.sum("length").alias("total"))
-    rep = rep.select(F.col("key").cast("string").alias("case"), (F.col("key") % 2 == 0).alias("hinted"), "stage", F.lit(1).alias("rank"), F.lit("shared").alias("name"), "objects", F.transform("objects", lambda x: x["id"]).alias("sample"), "total")
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = px.refs(spark, d).select("version_id", (F.col("sha") % 40).alias("id"), "length").repartition("version_id")
+    r = r.groupBy("version_id").agg(F.collect_set(F.struct("id")).alias("ids"), F.sum("length").alias("total"))
+    v = px.versions(spark, d).select("version_id", F.col("key").cast("string").alias("case"), (F.col("key") % 2 == 0).alias("hinted"), "ts")
+    r = r.join(v, "version_id").repartition(deals, "case")
+    order, same = Window.partitionBy("case").orderBy("ts", "version_id"), Window.partitionBy("case", "ts", "version_id")
+    # an order that is listed twice is one stage of twice its size
+    r = r.select("case", "hinted", "ids", F.sum("total").over(same).alias("total"), (F.dense_rank().over(order) - 1).alias("stage"), (F.rank().over(order) == F.row_number().over(order)).alias("once")).filter("once")
+    items = F.array_sort(F.transform("ids", lambda x: F.struct(x["id"].cast("string").alias("id"), F.lit(100).cast("long").alias("size"))))
+    rep = r.select("case", "hinted", "stage", "total", items.alias("objects"))
     whole = F.array(F.struct(F.concat(F.lit("plain-"), F.col("stage").cast("string")).alias("id"), (F.col("total") * 4).alias("size")))
-    plain = rep.select("case", "hinted", "stage", F.lit(0).alias("rank"), F.lit(pl.PLAIN).alias("name"), whole.alias("objects"), F.array().cast("array<string>").alias("sample"))
-    return pl.admission(rep.drop("total").unionByName(plain))
+    of = lambda rank, name, objects, sample: F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name"), objects.alias("objects"), sample.alias("sample"))
+    both = F.array(of(0, pl.PLAIN, whole, F.array().cast("array<string>")), of(1, "shared", F.col("objects"), F.transform("objects", lambda x: x["id"])))
+    return pl.admission(rep.select("case", "hinted", "stage", F.inline(both)), dealt=True)
 
 
 @register("plane_fit", """WITH s AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(l_quantity::DOUBLE) AS st, sum(l_linenumber::DOUBLE) AS sp, sum((l_suppkey % 10)::DOUBLE) AS sq, sum((l_linenumber * l_linenumber)::DOUBLE) AS pp, sum((l_linenumber * (l_suppkey % 10))::DOUBLE) AS pq,
