@@ -24,8 +24,10 @@ MOST_STATES = 100_000
 
 
 def _overlap(a: list, b: list) -> float:
+    if not a or not b:
+        return 0.0
     held = set(a)
-    return sum(x in held for x in b) / len(b) if held and b else 0.0
+    return len([x for x in b if x in held]) / len(b)
 
 
 class Stage(NamedTuple):
@@ -65,10 +67,11 @@ PICKS: dict[str, Callable[[Stage, list[int]], int]] = {"greedy": _greedy, "premi
 
 #: Objects as bits of a number, by what each weighs.
 Weights = list[tuple[float, int]]
+Moves = tuple[list[int], list[tuple[int, int]]]
 
 
 def _weigh(weights: Weights, left: int) -> float:
-    return sum(w * (m & left).bit_count() for w, m in weights)
+    return sum([w * (m & left).bit_count() for w, m in weights])
 
 
 def _by_weight(pairs: Iterable[tuple[float, int]]) -> Weights:
@@ -84,14 +87,22 @@ class Case:
     def __init__(self, stages: list[list[tuple[str, dict, list]]], hinted: bool):
         self.stages, self.hinted = stages, hinted
         bits: dict = {}
+        #: Of each stage's candidates: objects as bits, by what they weigh with their records.
+        self.weights: list[list[Weights]] = []
         for stage in stages:
+            here = []
             for _, objects, _ in stage:
-                for o in objects:
-                    bits.setdefault(o, 1 << len(bits))
-        #: Of each stage's candidates: objects as bits, and what they weigh with their records.
-        self.weights = [[_by_weight((n + OBJECT_OVERHEAD, bits[o]) for o, n in objects.items()) for _, objects, _ in stage] for stage in stages]
-        self.masks = [[sum(m for _, m in w) for w in stage] for stage in self.weights]
+                by: dict[int, int] = {}
+                for o, n in objects.items():
+                    if o not in bits:
+                        bits[o] = 1 << len(bits)
+                    by[n + OBJECT_OVERHEAD] = by.get(n + OBJECT_OVERHEAD, 0) | bits[o]
+                here.append(list(by.items()))
+            self.weights.append(here)
+        self.masks = [[sum([m for _, m in w]) for w in stage] for stage in self.weights]
         self.bits = bits
+        #: Of each stage the objects that its candidates need, and by those of them that are there what :meth:`moves` found.
+        self.known: list[tuple[int, dict[int, Moves]]] = [(reduce(or_, masks), {}) for masks in self.masks]
         self.seen = []
         samples: dict[str, list] = {}
         for at, stage in enumerate(stages):
@@ -106,20 +117,26 @@ class Case:
     def cost(candidate: tuple[str, dict, list], have: frozenset) -> int:
         return sum(n + OBJECT_OVERHEAD for o, n in candidate[1].items() if o not in have)
 
-    def costs(self, at: int, have: int) -> list[int]:
-        """What each candidate of a stage adds to the objects there are."""
-        left = ~have
-        return [sum([w * (m & left).bit_count() for w, m in weights]) for weights in self.weights[at]]
+    def moves(self, at: int, have: int) -> Moves:
+        """What each candidate of a stage adds to the objects there are, alone and with its objects; policies often meet in the same ones."""
+        needs, known = self.known[at]
+        have &= needs
+        found = known.get(have)
+        if found is None:
+            left = ~have
+            costs = [sum([w * (m & left).bit_count() for w, m in weights]) for weights in self.weights[at]]
+            found = known[have] = costs, list(zip(costs, self.masks[at], strict=True))
+        return found
 
     def ahead(self, at: int, depth: int, width: int, have: int) -> int:
         """The candidate that the cheapest plan over this stage and ``depth`` more begins with; after each the cheapest ``width`` go on, earlier ones first."""
         end = min(at + depth + 1, len(self.stages))
-        states = [(c, have | m, i) for i, (c, m) in enumerate(zip(self.costs(at, have), self.masks[at], strict=True))]
+        states = [(c, have | m, i) for i, (c, m) in enumerate(self.moves(at, have)[1])]
         for k in range(at + 1, end):
             if len(states) > 1:
                 states = sorted(states, key=itemgetter(0))[:width]
-            masks = self.masks[k]
-            states = [(spent + c, held | m, first) for spent, held, first in states for c, m in zip(self.costs(k, held), masks, strict=True)]
+            needs, known = self.known[k]
+            states = [(spent + c, held | m, first) for spent, held, first in states for c, m in (known.get(held & needs) or self.moves(k, held))[1]]
         return min(states, key=itemgetter(0))[2]
 
     def best(self) -> tuple[int, ...]:
@@ -243,7 +260,7 @@ class Case:
             shares = self._shares(k + 1)
             grown: dict[int, tuple[int, tuple[int, ...]]] = {}
             for held, (spent, path) in states.items():
-                for i, (c, m) in enumerate(zip(self.costs(k, held), self.masks[k], strict=True)):
+                for i, (c, m) in enumerate(self.moves(k, held)[1]):
                     then, new = (held | m) & used[k + 1], (spent + c, (*path, i))
                     if then not in grown or new < grown[then]:
                         if new[0] + sum(min(_weigh(w, ~then) for w in stage) for stage in shares) <= most:
@@ -269,7 +286,7 @@ class Case:
         out = []
         plan = self.best() if policy == "oracle" else None
         for at, stage in enumerate(self.stages):
-            cost = self.costs(at, have)
+            cost = self.moves(at, have)[0]
             if plan is not None:
                 pick = plan[at]
             elif policy in LOOKAHEAD:
@@ -283,7 +300,7 @@ class Case:
 
 POLICIES = ("greedy", "premium-cap", "late-bootstrap", "expected-value", "one-step", "beam", "oracle")
 #: Cases that are read and planned at once.
-CASES_AT_ONCE = 500
+CASES_AT_ONCE = 200
 
 
 def _cases(b: pa.RecordBatch) -> Iterator[Case]:
